@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import bpe_stream, token_counts
+from blockloom.llm import bpe_stream, chat, license_scan, secret_scan, sharding, token_counts
 from blockloom.llm.common import table
 
 
@@ -14,13 +14,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.render(chat.fold(chat.with_probe(table(spark, sf_dir, "conversations")))))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_chat_format": op4_chat_format,
+    "op5_secret_scan": op5_secret_scan,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
+    "op8_shard_ring": op8_shard_ring,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_format": chat.ORACLE,
+}
