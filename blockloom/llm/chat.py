@@ -40,8 +40,8 @@ def fold(events: DataFrame) -> DataFrame:
     clean = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.when(F.col("kind") == "message", 0).when(F.col("kind") == "regenerate", 1).when(F.col("kind") == "edit", 2).otherwise(3)
     by_turn = clean.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", order.alias("order"), "role", "text"))).alias("events"))
-    again = clean.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_set(F.struct("seq", "turn")).alias("again"))
-    joined = by_turn.join(again, by_turn.conv_id.eqNullSafe(again.conv_id), "left").drop(again.conv_id)
+    again = clean.where("kind = 'regenerate'").groupBy(F.col("conv_id").alias("again_id")).agg(F.collect_set(F.struct("seq", "turn")).alias("again"))
+    joined = by_turn.join(again, F.col("conv_id").eqNullSafe(F.col("again_id")), "left")
     cut = F.array_max(F.transform(F.filter("again", lambda a: a.turn < F.col("turn")), lambda a: a.seq))
     live = joined.select("conv_id", "turn", F.when(cut.isNull(), F.col("events")).otherwise(F.filter("events", lambda e: e.seq > cut)).alias("events")).where(F.size("events") > 0)
     starts = F.filter(F.transform("events", lambda e, i: F.when((i == 0) | (e.order < 3), i)), lambda i: i.isNotNull())
