@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockloom.llm import bpe_stream, chat, license_scan, secret_scan, sharding, token_counts
+from blockloom.llm import bpe_stream, chat, language_id, license_scan, secret_scan, sharding, token_counts, vector_dedup
 from blockloom.llm.common import table
 
 
@@ -14,6 +15,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.fold(chat.with_probe(table(spark, sf_dir, "conversations")))))
 
@@ -26,6 +33,10 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -36,13 +47,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_secret_scan": op5_secret_scan,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_shard_ring": op8_shard_ring,
     "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat.ORACLE,
+    "op7_embedding_dedup": vector_dedup.ORACLE,
 }
