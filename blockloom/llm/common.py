@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def discard(df: DataFrame) -> None:
 
 def cells(batch: pa.RecordBatch, column: str, budget: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with at most budget bytes of text each, and one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, held = 0, 0
     for row, size in enumerate(sizes.tolist()):
         if held and held + size > budget:
@@ -71,7 +72,7 @@ def cells(batch: pa.RecordBatch, column: str, budget: int = WORK_BYTES) -> Itera
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, offsets counted from 0; null is as empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type):
         kind = np.int64
     else:

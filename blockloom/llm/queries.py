@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import bpe_stream, chat, language_id, license_scan, secret_scan, sharding, token_counts, vector_dedup
+from blockloom.llm import bpe_stream, chat, decontaminate, language_id, license_scan, secret_scan, sharding, token_counts, vector_dedup
 from blockloom.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
@@ -54,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_shard_ring": op8_shard_ring,
     "op9_license_scan": op9_license_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat.ORACLE,
     "op7_embedding_dedup": vector_dedup.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }

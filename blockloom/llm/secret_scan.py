@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -119,7 +120,7 @@ def redact(docs: DataFrame, *, vocab: str = "byte_bpe_multi_50k.tiktoken", ratio
             if count_col in names:
                 j = names.index(count_col)
                 changed = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns[j] = pa.compute.if_else(pa.compute.is_null(columns[at]), columns[j], changed.cast(columns[j].type))
+                columns[j] = pc.if_else(pc.is_null(columns[at]), columns[j], changed.cast(columns[j].type))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -82,7 +83,7 @@ def token_counts(docs: DataFrame, *, vocab: str = "byte_bpe_50k.json", limit: in
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counted = np.fromiter((n for _, group in grouped(texts, WORK_BYTES) for n in counter.counts(group)), np.int64, len(texts))
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counted), pa.array(counted > limit)], names=schema.names)
 
     return first_columns(docs, id=id_col, text=text_col).mapInArrow(count, schema)
