@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import bpe_stream, chat, decontaminate, language_id, license_scan, secret_scan, sharding, token_counts, vector_dedup
+from blockloom.llm import bpe_stream, chat, decontaminate, language_id, license_scan, minhash, secret_scan, sharding, token_counts, vector_dedup
 from blockloom.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": minhash.oracle(4, 80),
     "op4_chat_format": chat.ORACLE,
     "op7_embedding_dedup": vector_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
