@@ -140,6 +140,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     return verified.groupBy("id", "item").agg(F.max(F.struct("matched", "window")).alias("best")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.window").alias("window"), F.col("best.matched").alias("matched"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that overlap with no item. A row without an id is told by its text."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string")))
+    keyed = docs.withColumn("__key", key)
+    found = materialize(overlaps(keyed, benchmark, id_col="__key", text_col=text_col).select("__key").distinct(), "leaks")
+    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
+
+
 #: The same from contiguous seeds: any such window holds four consecutive equal words.
 ORACLE = r"""
 WITH d AS (

@@ -172,3 +172,26 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=schema.names)
 
     return first_columns(docs, id=id_col, text=text_col, **{f"keep{j}": c for j, c in enumerate(keep)}).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text is in a learned language: one that has a share of `least` or more.
+
+    Texts without a letter, null texts and texts that no language accounts for are rejected.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep = np.zeros(len(texts), bool)
+            rows = [k for k, t in enumerate(texts) if has_letter(t)]
+            own = [texts[k] for k in rows]
+            for group in groups(own):
+                for k, (lang, score) in zip(group, known.predict([own[k] for k in group]), strict=True):
+                    keep[rows[k]] = lang != UNDETERMINED and score >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     3. Confirmed pairs make components. Lists whose members are in one component are done; of the others, every pair of
        members from different components is tested too, so no link between components is lost.
 
-    Null ids: no links, a null component, not kept. Null texts count as empty. Rows that repeat an id share its
+    Null ids: no links, a null component, kept. Null texts count as empty. Rows that repeat an id share its
     component. Other columns are not read; an empty table gives an empty result.
     """
     base = first_columns(docs, id=id_col, text=text_col)
@@ -234,7 +234,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     named = rows.select("id", "n", "k1", "k2").join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left")
     joined = named.join(parts.withColumnsRenamed({"id": "node"}), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that near_duplicates() keeps; of rows that repeat id and text, one. Rows without an id stay."""
+    kept = materialize(near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col), "kept")
+    named = docs.where(F.col(id_col).isNotNull()).join(kept.distinct(), id_col, "left_semi").select(*docs.columns)
+    repeated = materialize(kept.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if repeated.head(1):
+        again = named.join(repeated, id_col, "left_semi").withColumn("__same", F.xxhash64(text_col)).dropDuplicates([id_col, "__same"]).drop("__same")
+        named = named.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(again)
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def oracle(shingle: int, percent: int) -> str:

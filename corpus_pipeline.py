@@ -1,7 +1,56 @@
-"""The corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret redaction, tokenization.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; each but the last returns the
+columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from blockloom.llm import bpe_stream, decontaminate, language_id, minhash, secret_scan
+from blockloom.llm.common import materialize, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose text no learned language accounts for, go."""
+    return language_id.accepted(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8."""
+    return minhash.deduplicated(docs, shingle=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay; each secret in a text becomes its kind in brackets, and n_chars follows."""
+    return secret_scan.redact(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, with the digests of the ids and of the text decoded from them."""
+    return bpe_stream.encode(docs, keep=("lang", "source"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_dedup", drop_near_duplicates),
+    ("decontaminate", drop_leaks),
+    ("secret_scan", redact_secrets),
+    ("bpe_encode", tokenize),
+]
+
+#: Language models, sketches and tokenizers are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
