@@ -22,10 +22,12 @@ from blockloom.llm.components import components
 from blockloom.llm.words import SPACED, window_hashes, word_hashes
 
 K = 128
-#: Smallest values by which a document without frequent ones is listed: two similar ones share none with odds under 1e-11.
+#: Smallest values by which a document is listed: two similar ones share none with odds under 1e-11.
 FEW = 16
-#: Buckets in which the retained values are counted, to tell frequent ones; a fixed number, whatever the input.
-BUCKETS = 1 << 17
+#: Members up to which a list is short and its pairs may be tested one by one. Longer lists are of frequent values.
+SHORT = 32
+#: Documents of which a larger share of the retained values is frequent are compared by prefixes of their full sets.
+DENSE = 0.45
 #: Bits by which documents without a candidate are left out before texts are shuffled; a fixed number too.
 MARKS = 1 << 22
 
@@ -53,14 +55,6 @@ def least_shared(percent: int, k: int = K) -> int:
     return k
 
 
-def least_overlap(n: int, percent: int, k: int = K) -> int:
-    """Retained values that a set of n shares with the sketch of any similar set."""
-    if n > k:
-        return least_shared(percent, k)
-    # All of the set is retained; of a partner of up to n / p members, k are.
-    return max(1, -(-n * percent // 100) - max(0, n * 100 // percent - k))
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
@@ -75,6 +69,11 @@ def plausible(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int, k: i
     return int(np.searchsorted(both, union[-1], "right")) >= least_shared(percent, k)
 
 
+def _keys(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers that together with its size identify a set."""
+    return (int(s.sum(dtype=np.int64)), int(np.bitwise_xor.reduce(s * np.int64(0x5851F42D4C957F2D)))) if len(s) else (0, 0)
+
+
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, sketch): k1 and k2 together identify the set."""
 
@@ -82,8 +81,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
         for batch in batches:
             for part in cells(batch, "text"):
                 sets = list(shingle_sets(part, 1, size))
-                k1 = [int(s.sum(dtype=np.int64)) if len(s) else 0 for s in sets]
-                k2 = [int(np.bitwise_xor.reduce(s * np.int64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets]
+                k1, k2 = zip(*map(_keys, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))],
                     names=["id", "n", "k1", "k2", "sketch"],
@@ -93,53 +91,87 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     return first_columns(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, sketch array<long>")
 
 
-def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node, n): the inverted lists.
+def cool_values(f: float, percent: int) -> int:
+    """Smallest values that are not frequent by which a document is listed, if a share f of its retained values is.
+
+    Similar documents have in common (p - f) / (1 - f) of such values at least; f is taken 0.1 higher, as it is estimated.
+    """
+    p, f = percent / 100, min(f, DENSE) + 0.1
+    common = max((p - f) / (1 - f), 0.05)
+    return max(FEW, math.ceil(math.log(1e-9) / math.log(1 - common)))
+
+
+def _flagged(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, h, ordered): how many of a document's values (entries: *keys, value) are frequent; its values, frequent ones last.
+
+    A value is frequent that more than SHORT of the entries have. The order is the same for all documents.
+    """
+    often = entries.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT).select("value", F.lit(1).alias("often"))
+    marked = entries.join(often, "value", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    return marked.groupBy(*keys).agg(F.sum("often").alias("h"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("ordered"))
+
+
+def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+    """(kind, value, node, n, h): the inverted lists. Any two similar documents share one.
 
-    A document is listed under its FEW smallest values, of which similar documents share one. If some of these are
-    frequent (a passage that very many documents share), the document is listed under its other small values and under
-    its least frequent ones, so many that any two sketches with enough in common share one of those. Frequency is that
-    of the value's bucket, which gives the same order of values everywhere.
+    0: every document under its FEW smallest values, of lists that are short. What two similar ones share may all be in
+    long lists, of frequent values; both are busy then, and only among busy documents go on
+    1: each under its smallest values that are not frequent among the busy, more of them the more are frequent; and where
+    most are frequent, both are dense, and by prefixes of their full sets, which share a value for certain:
+    2: each dense one under the values of its prefix that are not frequent,
+    3: and under those that are. h counts its frequent values: two documents that share no other value of their prefixes
+    have no more than the lesser h in common. Elsewhere h is n.
     """
-    spark = nodes.sparkSession
+    few = nodes.select(F.explode(F.slice("sketch", 1, FEW)).alias("value"), "node", "n")
+    counts = few.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    members = materialize(few.join(counts, "value"), "members")
+    long_ = members.where(F.col("members") > SHORT)
+    busy = materialize(nodes.join(long_.select("node").distinct(), "node", "left_semi"), "busy")
+    cool = _flagged(busy.select("node", "n", "k1", "k2", F.explode("sketch").alias("value")), ["node", "n", "k1", "k2"])
+    cool = materialize(cool.select("node", "n", "k1", "k2", (F.col("h") / F.size("ordered")).alias("f"), F.transform(F.filter("ordered", lambda x: x.often == 0), lambda x: x.value).alias("cool")), "cool")
+    steps = sorted({0.0, DENSE, *[k / 20 for k in range(1, int(DENSE * 20))]})
+    many = functools.reduce(lambda out, f: F.when(F.col("f") <= f, cool_values(f, percent)).otherwise(out), reversed(steps), F.lit(cool_values(DENSE, percent)))
+    second = cool.select(F.explode(F.slice("cool", F.lit(1), many)).alias("value"), "node", "n")
+
+    dense = materialize(_full_sets(base, cool.where(F.col("f") > DENSE).select("node", "n", "k1", "k2"), size), "dense")
+    ordered = _flagged(dense.select("node", "n", "k1", F.explode("values").alias("value")), ["node", "n", "k1"])
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    third = ordered.select(F.explode(F.slice("ordered", F.lit(1), prefix.cast("int"))).alias("x"), "node", "n", "h")
+    third = materialize(third.select("x.often", "x.value", "node", "n", "h"), "prefixes")
+
+    of = lambda df, kind, h="n": df.select(F.lit(kind).alias("kind"), "value", "node", "n", F.col(h).alias("h"))
+    return of(members.where(F.col("members") <= SHORT), 0).unionByName(of(second, 1)).unionByName(of(third.where("often = 0"), 2)).unionByName(of(third.where("often = 1"), 3, "h"))
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of docs without most of those whose id is not among ids: a bit field of fixed size tells them, before any shuffle."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    bits = np.zeros(MARKS, bool)
+    bits[[r[0] for r in ids.select(mark.cast("int")).distinct().collect()]] = True  # at most MARKS
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    counted = nodes.select("sketch").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(BUCKETS, np.int64)
-    table[counted.bucket.to_numpy()] = counted.n.to_numpy()
-    mean = table.mean()
-    frequent = mean + 8 * math.sqrt(mean) + 64
-    shared = spark.sparkContext.broadcast(table)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+            yield batch.filter(pa.array(known[batch.column(2).to_numpy(zero_copy_only=False)])).select([0, 1])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark.alias("mark")).mapInArrow(run, f"id {kind}, text string")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, n, k1, values) of the wanted (node, n, k1, k2), from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).offsets.to_numpy()
-            flat = batch.column(2).values.to_numpy(zero_copy_only=False)
-            often = counts[flat & (BUCKETS - 1)]
-            sizes = batch.column(1).to_pylist()
-            values, owners = [], []
-            for k, n in enumerate(sizes):
-                own, seen = flat[at[k] : at[k + 1]], often[at[k] : at[k + 1]]
-                if (seen[:FEW] > frequent).any():
-                    rare = own[np.lexsort((own, seen))[: len(own) - least_overlap(n, percent) + 1]]
-                    own = np.union1d(own[:FEW][seen[:FEW] <= frequent], rare)
-                else:
-                    own = own[:FEW]
-                values.append(own)
-                owners.append(np.full(len(own), k))
-            if values:
-                owner = pa.array(np.concatenate(owners))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), batch.column(0).take(owner), batch.column(1).take(owner)], names=["value", "node", "n"])
+            for part in cells(batch, "text"):
+                sets = list(shingle_sets(part, 1, size))
+                k1, k2 = zip(*map(_keys, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "k1", "k2", "values"])
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.select("node", "n", "sketch").mapInArrow(post, f"value long, node {kind}, n long")
+    kind = docs.schema["id"].dataType.simpleString()
+    found = _marked(docs, wanted.select(F.col("node").alias("id"))).mapInArrow(run, f"node {kind}, k1 long, k2 long, values array<long>")
+    return found.join(wanted, ["node", "k1", "k2"]).select("node", "n", "k1", "values")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -168,17 +200,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar. Only texts of ids in a pair are shuffled, but for few others."""
-    spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    bits = np.zeros(MARKS, bool)
-    bits[[r[0] for r in ids.select(mark.cast("int")).distinct().collect()]] = True  # at most MARKS
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(known[batch.column(2).to_numpy(zero_copy_only=False)])).select([0, 1])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +209,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
                 yield part.filter(pa.array([similar(x, y, percent) for x, y in sets], pa.bool_())).select([0, 1])
 
     kind = docs.schema["id"].dataType.simpleString()
-    texts = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark.alias("mark")).mapInArrow(marked, f"id {kind}, text string")
-    texts = materialize(texts, "texts")
+    texts = materialize(_marked(docs, ids), "texts")
     joined = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
 
@@ -201,9 +222,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     links reach, itself included; kept says that it is the row's own.
 
     1. Equal sets become one node, named by their smallest id: groups of copies of any size cost one partial aggregate.
-    2. Each list links its members to its first one: as many pairs as the list has members, not their square.
+    2. Each list links its members to one: its first, or in lists of frequent values the one with the fewest others, which
+       is the nearest to all. That gives as many pairs as the list has members, not their square.
     3. Confirmed pairs make components. Lists whose members are in one component are done; of the others, every pair of
-       members from different components is tested too, so no link between components is lost.
+       members from different components that sizes and h allow is tested too, so no link between components is lost.
+       All lists but those of dense documents are short.
 
     Null ids: no links, a null component, kept. Null texts count as empty. Rows that repeat an id share its
     component. Other columns are not read; an empty table gives an empty result.
@@ -212,21 +235,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     rows = materialize(sketches(base, shingle, "id", "text"), "sketches")
     nodes = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
-    lists = materialize(_lists(nodes, percent), "lists")
-    heads = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("head"), F.max("node").alias("last")).where("members > 1 AND head < last")
-    members = materialize(lists.join(heads.select("value", "head"), "value"), "members")
-    sizes = members.where("head = node").select("value", F.col("n").alias("n_head")).distinct()
-    first = members.where("head < node").join(sizes, "value").where(_sizes_fit("n", "n_head", percent)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    lists, key = materialize(_lists(nodes, base, shingle, percent), "lists"), ["kind", "value"]
+    heads = lists.groupBy(*key).agg(F.min(F.struct((F.col("n") - F.col("h")).alias("others"), "node", "n")).alias("m"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    heads = heads.select(*key, F.col("m.node").alias("head"), F.col("m.n").alias("n_head"))
+    members = materialize(lists.join(heads, key), "members")
+    first = members.where("head <> node").where(_sizes_fit("n", "n_head", percent)).select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     first = materialize(first, "pairs")
     links = materialize(_confirmed(materialize(_filtered(first, nodes, percent), "plausible"), base, shingle, percent), "confirmed")
     parts = components(links)
 
     labelled = members.join(parts.withColumnsRenamed({"id": "node"}), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     labelled = materialize(labelled, "labelled")
-    open_ = labelled.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("value")
-    rest = labelled.join(open_, "value").select("value", "node", "n", "part")
-    x, y = rest.withColumnsRenamed({"node": "a", "n": "na", "part": "pa"}), rest.withColumnsRenamed({"node": "b", "n": "nb", "part": "pb"})
-    second = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb", percent)).select("a", "b").distinct()
+    open_ = labelled.groupBy(*key).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*key)
+    rest = labelled.join(open_, key).select(*key, "node", "n", "h", "part")
+    x, y = rest.withColumnsRenamed({"node": "a", "n": "na", "h": "ha", "part": "pa"}), rest.withColumnsRenamed({"node": "b", "n": "nb", "h": "hb", "part": "pb"})
+    enough = F.least("ha", "hb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    second = x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb", percent) & enough).select("a", "b").distinct()
     second = materialize(_filtered(second.join(first, ["a", "b"], "left_anti"), nodes, percent), "plausible")
     more = materialize(_confirmed(second, base, shingle, percent), "confirmed")
     parts = components(links.union(more)) if more.head(1) else parts
