@@ -1,10 +1,8 @@
-"""The registered queries of the reference's operators and their DuckDB texts."""
+"""The registered queries of the ordered operators and the sample statistics, and their DuckDB texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from blockloom.queries import core, stats
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = core.QUERIES | stats.QUERIES
+ORACLES = core.ORACLES | stats.ORACLES
