@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text held in numpy work arrays at once, in bytes. Only the size of the working set depends on it.
@@ -83,6 +83,23 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names that Python functions over whole rows can take."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def first_columns(docs: DataFrame, **named: str) -> DataFrame:
     """The columns an operator needs under fixed names; others, whatever they are called, do not get in its way."""
     return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in named.items()])

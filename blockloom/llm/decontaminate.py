@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cells, first_columns, materialize, raw
+from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw
 from blockloom.llm.words import ALPHANUMERIC, window_hashes, word_hashes
 
 WINDOW = 13
@@ -142,10 +142,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, that overlap with no item. A row without an id is told by its text."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string")))
-    keyed = docs.withColumn("__key", key)
-    found = materialize(overlaps(keyed, benchmark, id_col="__key", text_col=text_col).select("__key").distinct(), "leaks")
-    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
+    key = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(column(text_col)).cast("string")))
+    found = overlaps(docs.select(key.alias("key"), column(text_col).alias("text")), benchmark, id_col="key", text_col="text")
+    leaks = materialize(found.select(F.col("key").alias(fresh(docs, "leak"))).distinct(), "leaks")
+    return docs.join(leaks, key == leaks[leaks.columns[0]], "left_anti")
 
 
 #: The same from contiguous seeds: any such window holds four consecutive equal words.

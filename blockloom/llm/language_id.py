@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.llm.common import WORK_BYTES, first_columns
+from blockloom.llm.common import WORK_BYTES, first_columns, plain
 
 BUCKETS = 1 << 13
 #: Documents whose dense count matrix is held at once.
@@ -180,7 +180,7 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, text_col: str
     Texts without a letter, null texts and texts that no language accounts for are rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -192,6 +192,6 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, text_col: str
             for group in groups(own):
                 for k, (lang, score) in zip(group, known.predict([own[k] for k in group]), strict=True):
                     keep[rows[k]] = lang != UNDETERMINED and score >= least
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(keep)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain(docs).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cells, first_columns, materialize, raw
+from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw
 from blockloom.llm.components import components
 from blockloom.llm.words import SPACED, window_hashes, word_hashes
 
@@ -263,13 +263,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, that near_duplicates() keeps; of rows that repeat id and text, one. Rows without an id stay."""
-    kept = materialize(near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col), "kept")
-    named = docs.where(F.col(id_col).isNotNull()).join(kept.distinct(), id_col, "left_semi").select(*docs.columns)
-    repeated = materialize(kept.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    own, text, kept_id = column(id_col), column(text_col), fresh(docs, "kept_id")
+    found = near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
+    counted = materialize(found.where(F.col("kept") & own.isNotNull()).groupBy(own.alias(kept_id)).agg(F.count("*").alias("rows")), "kept")
+    once = counted.where("rows = 1").select(kept_id)
+    out = docs.join(once, own == F.col(kept_id), "left_semi").unionByName(docs.where(own.isNull()))
+    repeated = counted.where("rows > 1").select(kept_id)
     if repeated.head(1):
-        again = named.join(repeated, id_col, "left_semi").withColumn("__same", F.xxhash64(text_col)).dropDuplicates([id_col, "__same"]).drop("__same")
-        named = named.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(again)
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+        same = fresh(docs, "same_text")
+        again = docs.join(repeated, own == F.col(kept_id), "left_semi").withColumn(same, F.xxhash64(text))
+        out = out.unionByName(again.dropDuplicates([id_col, same]).drop(same))
+    return out
 
 
 def oracle(shingle: int, percent: int) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from blockloom.llm.bpe import resolve
-from blockloom.llm.common import first_columns
+from blockloom.llm.common import first_columns, plain
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -26,7 +26,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+|(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[_/=+-]*|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
+    r"|[0-9+/_=-]+|[_/=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,4})(?:[_/=+-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]{1,4}))+[_/=+-]*|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
 )
 
 
@@ -123,4 +123,4 @@ def redact(docs: DataFrame, *, vocab: str = "byte_bpe_multi_50k.tiktoken", ratio
                 columns[j] = pc.if_else(pc.is_null(columns[at]), columns[j], changed.cast(columns[j].type))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return plain(docs).mapInArrow(run, schema)
