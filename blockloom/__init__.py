@@ -1 +1 @@
-"""Deterministic data-parallel operators on DataFrames."""
+"""Deterministic data-parallel operators on DataFrames, and operators for training-data pipelines."""

@@ -32,6 +32,10 @@ def phases(engine: Engine, *args: Any, **options: Any) -> Any:
     return engine.phases(*args, **options)
 
 
+def bulk(engine: Engine, *args: Any, **options: Any) -> Any:
+    return engine.bulk(*args, **options)
+
+
 def bulk_nearest(engine: Engine, *args: Any, **options: Any) -> Any:
     return engine.bulk_nearest(*args, **options)
 

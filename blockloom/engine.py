@@ -184,6 +184,10 @@ class Engine:
     def phases(self, rows: DataFrame, n_phases: int, phase: Callable[[DataFrame, int, object], DataFrame], *, pre_phase: Callable[[int], object] | None = None, token: CancellationToken = _NEVER) -> DataFrame:
         return chain.run_phases(rows, n_phases, phase, pre_phase=pre_phase, token=token)
 
+    def bulk(self, queries: DataFrame, n: int, body: Callable[[pa.Table], pa.Table] | Column | list[Column], schema: str | None = None, **options: Any) -> DataFrame:
+        """Independent queries with a dense idx, in blocks; body keeps each result with its query."""
+        return self.map_blocks(queries, n, body, schema, **options)
+
     def bulk_nearest(self, queries: DataFrame, refs: DataFrame, **options: Any) -> DataFrame:
         return bulk.nearest(queries, refs, **options)
 
@@ -271,6 +275,9 @@ class Engine:
     def phases_async(self, *args: Any, **options: Any) -> Future:
         return self.call_async(self.phases, *args, **options)
 
+    def bulk_async(self, *args: Any, **options: Any) -> Future:
+        return self.call_async(self.bulk, *args, **options)
+
     def bulk_nearest_async(self, *args: Any, **options: Any) -> Future:
         return self.call_async(self.bulk_nearest, *args, **options)
 

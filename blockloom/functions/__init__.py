@@ -1 +1 @@
-"""Deterministic data-parallel operators on DataFrames."""
+"""Statistics of benchmark samples."""

@@ -1 +1 @@
-"""Deterministic data-parallel operators on DataFrames."""
+"""Operators over dense indexes and blocks: maps, reductions, scans, bulk queries, kernels."""

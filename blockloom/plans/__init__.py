@@ -1 +1 @@
-"""Deterministic data-parallel operators on DataFrames."""
+"""Plans of several steps: chains of stages, iterated phases, recursion by levels."""

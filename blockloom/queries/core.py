@@ -223,6 +223,15 @@ def chain_three_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.run_chain(parts, n, stages, participants=4).select("p_partkey", F.col("price").cast("double").alias("price"))
 
 
+@query("SELECT p_partkey, ((p_partkey * 3 + 21) % 1000)::BIGINT AS v FROM part")
+def chain_seven_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven fused stages: + k for k in 0 to 6, after a scale and before a fold into a thousand."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 3).alias("v"))
+    stages = [chain.static_stage(f"add {k}", lambda df, k: df.withColumn("v", F.col("v") + k)) for k in range(7)]
+    out = chain.run_chain(with_index(parts, "p_partkey"), parts.count(), stages, participants=8)
+    return out.select("p_partkey", (F.col("v") % 1000).alias("v"))
+
+
 @query("""
 WITH i AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, count(*) OVER () AS n FROM supplier)
 SELECT s_suppkey, CASE WHEN ((idx + 1) * 4 - 1) // n = 0 THEN '012' ELSE '02' END AS stages FROM i""")
@@ -281,6 +290,13 @@ def phases_prehook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("slot", F.posexplode("seen").alias("phase", "observed"), "n_rows")
 
 
+@query("SELECT slot::INTEGER AS slot, (slot + 30 * 31 // 2)::BIGINT AS v FROM range(16) t(slot)")
+def phases_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty phases over sixteen slots; each adds its number, so the value has a closed form."""
+    slots = spark.range(16).select(F.col("id").cast("int").alias("slot"), F.col("id").alias("v"))
+    return chain.run_phases(slots, 30, lambda df, p, _: df.withColumn("v", F.col("v") + p + 1))
+
+
 @query("""
 WITH RECURSIVE s(label, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT label * 10 + c, depth + 1 FROM s, range(10) t(c) WHERE depth < 6)
 SELECT 6 AS depth, count(*) AS leaves, sum(label)::BIGINT AS total FROM s WHERE depth = 6""")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import samples as S
-from blockloom.storage import table
+from blockloom.operators.blocks import with_index
+from blockloom.sources import exports
+from blockloom.storage import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,8 +72,6 @@ def stat_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_S} SELECT workload, pool, rep, ns, row_number() OVER (ORDER BY workload, pool, rep) - 1 AS position FROM s")
 def stat_sorted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from blockloom.operators.blocks import with_index
-
     return with_index(_samples(spark, sf_dir), "workload", "pool", "rep", name="position")
 
 
@@ -202,3 +202,13 @@ def stat_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def stat_bootstrap_half_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bootstrap_half_width(_samples(spark, sf_dir))
+
+
+@query(f"WITH {_S} SELECT workload, pool, rep, (rep * 3)::DOUBLE AS cycles, ns FROM s")
+def stat_export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples written as JSON exports and read back."""
+    path = scratch(spark, "exports")
+    samples = _samples(spark, sf_dir).withColumn("cycles", (F.col("rep") * 3).cast("decimal(20,0)"))
+    exports.write_export(samples, {"tool": "events", "cpu_logical": 8}, path)
+    _, back = exports.read_export(spark, path)
+    return back.select("workload", "pool", "rep", F.col("cycles").cast("double").alias("cycles"), "ns")

@@ -1 +1 @@
-"""Deterministic data-parallel operators on DataFrames."""
+"""JSON exports of benchmark samples, read and written."""

@@ -61,13 +61,18 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return _samples(_fields(_documents(spark, path).where("kind"), "engine"))
 
 
-def write_export(samples: DataFrame, context: dict, path: str) -> None:
-    """One document a workload under path, each with the whole context, which has a field at least; NaN and infinite times become null."""
+def write_export(samples: DataFrame, context: dict, path: str, *, per_document: int = 50_000) -> None:
+    """Documents of about per_document samples of one workload at most under path, each with the whole context.
+
+    The context has a field at least. NaN and infinite times become null.
+    """
     fields = F.from_json(F.lit(json.dumps(context)), _schema(context))
     ns = F.when(F.isnan("ns") | (F.abs("ns") == float("inf")), F.lit(None)).otherwise(F.col("ns"))
+    parts = samples.groupBy("workload").agg(F.ceil(F.count("*") / per_document).alias("parts")).withColumnRenamed("workload", "__workload")
+    dealt = samples.join(parts, F.col("workload").eqNullSafe(F.col("__workload"))).withColumn("part", F.pmod(F.xxhash64("pool", "rep"), "parts"))
     rows = F.struct("workload", "pool", "rep", F.col("cycles").cast("string").alias("cycles"), ns.alias("ns"))
-    docs = samples.groupBy("workload").agg(F.array_sort(F.collect_list(rows)).alias("samples"))
-    file = F.concat(F.regexp_replace("workload", r"[^A-Za-z0-9._-]", "_"), F.lit("-"), F.hex(F.xxhash64("workload")))
+    docs = dealt.groupBy("workload", "part").agg(F.array_sort(F.collect_list(rows)).alias("samples"))
+    file = F.concat(F.regexp_replace("workload", r"[^A-Za-z0-9._-]", "_"), F.lit("-"), F.hex(F.xxhash64("workload", "part")))
     whole = docs.select(file.alias("file"), F.lit(SCHEMA_VERSION).alias("schema_version"), fields.alias("context"), "samples")
     whole.write.partitionBy("file").mode("overwrite").option("ignoreNullFields", "false").json(path)
 

@@ -28,14 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its rows, and any partition-dependent column, are fixed from here on.
 
     The copy is columnar, survives lost executors, and goes when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-"""Deterministic data-parallel operators on DataFrames."""
+"""No streaming operator: every operator of this library works on a fixed, indexed batch."""
