@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from blockloom.llm.bpe import Merges, grouped, merges
-from blockloom.llm.common import WORK_BYTES, first_columns
+from blockloom.llm.common import WORK_BYTES, first_columns, steady
 
 #: Pre-tokens whose ids a worker remembers; beyond, it starts anew. Bounds memory, never a result.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Only pre-tokens of at most so many characters are remembered.
 SHORT = 64
 
@@ -29,8 +29,8 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         fresh = [w for w in words if len(w) <= SHORT]
-        for k in range(0, len(fresh), 50_000):
-            part = fresh[k : k + 50_000]
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
             ids, at = self.merges.lockstep([w.encode() for w in part])
             body, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
             self.known.update(zip(part, map(body.__getitem__, map(slice, at, at[1:])), strict=True))
@@ -47,7 +47,7 @@ class Encoder:
                     words = self.merges.pretokens(piece)
                     held.append((k, words))
                     n += len(words)
-                if n > 400_000:
+                if n > 100_000:
                     yield from self._out(held)
                     held, n = [], 0
         yield from self._out(held)
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, *, vocab: str = "byte_bpe_50k.json", id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(vocab, Encoder(vocab))
         decoder = _decoders.setdefault(vocab, Decoder(vocab)) if check else None
-        for batch in batches:
+        for batch in steady(batches):
             for start, group in grouped(batch.column(1).to_pylist(), WORK_BYTES):
                 n, parts = len(group), []
                 lengths, digests, decoded = np.zeros(n, np.int64), [hashlib.sha256() for _ in group], [hashlib.sha256() for _ in group] if check else []
@@ -151,7 +151,7 @@ def decode(encoded: DataFrame, *, vocab: str = "byte_bpe_50k.json", id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoders.setdefault(vocab, Decoder(vocab))
-        for batch in batches:
+        for batch in steady(batches):
             texts = []
             for cell in batch.column(1):
                 if not cell.is_valid:

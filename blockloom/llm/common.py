@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text held in numpy work arrays at once, in bytes. Only the size of the working set depends on it.
-WORK_BYTES = 2 << 20
+WORK_BYTES = 1 << 19
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def steady(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches. After each, memory that its work has freed goes back to the system: idle workers of a cluster stay small."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        _trim(0)
+
+
 def cells(batch: pa.RecordBatch, column: str, budget: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with at most budget bytes of text each, and one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

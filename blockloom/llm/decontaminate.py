@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw
+from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw, steady
 from blockloom.llm.words import ALPHANUMERIC, window_hashes, word_hashes
 
 WINDOW = 13
@@ -65,7 +65,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     ids, items = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in cells(batch, "text"):
                 words, at = word_hashes(*raw(part.column(1)), ALPHANUMERIC)
                 for k in range(part.num_rows):
@@ -90,7 +90,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
     def hits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.unpackbits(f).view(bool) for f in shared.value)
-        for batch in batches:
+        for batch in steady(batches):
             schema = pa.schema([("id", batch.schema.field(0).type), ("places", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
             for part in cells(batch, "text"):
                 words, at = word_hashes(*raw(part.column(1)), ALPHANUMERIC)
@@ -122,7 +122,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     aligned = places.join(seeds, "hash").select("doc_row", "item_row", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             out: dict[str, list] = {"id": [], "item": [], "window": [], "matched": []}
             for k in range(batch.num_rows):
                 item = batch.column(3)[k].values.to_numpy(zero_copy_only=False)

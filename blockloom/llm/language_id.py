@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.llm.common import WORK_BYTES, first_columns, plain
+from blockloom.llm.common import WORK_BYTES, first_columns, plain, steady
 
 BUCKETS = 1 << 13
 #: Documents whose dense count matrix is held at once.
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, *, sample: int = 20_000, seed: int = 0, id_col: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in steady(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in steady(batches):
             texts = batch.column(1).to_pylist()
             out = [(UNDETERMINED, 0.0)] * len(texts)
             rows = [k for k, t in enumerate(texts) if has_letter(t)]
@@ -184,7 +184,7 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in steady(batches):
             texts = batch.column(at).to_pylist()
             keep = np.zeros(len(texts), bool)
             rows = [k for k, t in enumerate(texts) if has_letter(t)]

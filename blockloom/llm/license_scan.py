@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blockloom.llm.common import first_columns
+from blockloom.llm.common import first_columns, steady
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: (label, notice, edits allowed): characters inserted, deleted or replaced in lower-cased words joined by a space.
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     allowed = {label: max(k for x, _, k in NOTICES if x == label) for label, _, _ in NOTICES}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             rows = []
             for cell in batch.column(1):
                 n, exact, notices = matches_of(cell.as_py() or "")

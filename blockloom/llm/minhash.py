@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw
+from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw, steady
 from blockloom.llm.components import components
 from blockloom.llm.words import SPACED, window_hashes, word_hashes
 
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     """(id, n, k1, k2, sketch): k1 and k2 together identify the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in cells(batch, "text"):
                 sets = list(shingle_sets(part, 1, size))
                 k1, k2 = zip(*map(_keys, sets), strict=True)
@@ -143,8 +143,11 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     return of(members.where(F.col("members") <= SHORT), 0).unionByName(of(second, 1)).unionByName(of(third.where("often = 0"), 2)).unionByName(of(third.where("often = 1"), 3, "h"))
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of docs without most of those whose id is not among ids: a bit field of fixed size tells them, before any shuffle."""
+def _marked(docs: DataFrame, ids: DataFrame, use: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What use makes of the rows (id, text) of docs, without most of those whose id is not among ids.
+
+    A bit field of fixed size tells these before any shuffle.
+    """
     mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
     bits = np.zeros(MARKS, bool)
     bits[[r[0] for r in ids.select(mark.cast("int")).distinct().collect()]] = True  # at most MARKS
@@ -152,25 +155,23 @@ def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(known[batch.column(2).to_numpy(zero_copy_only=False)])).select([0, 1])
+        for batch in steady(batches):
+            yield from use(batch.filter(pa.array(known[batch.column(2).to_numpy(zero_copy_only=False)])).select([0, 1]))
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark.alias("mark")).mapInArrow(run, f"id {kind}, text string")
+    return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark.alias("mark")).mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, n, k1, values) of the wanted (node, n, k1, k2), from their texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cells(batch, "text"):
-                sets = list(shingle_sets(part, 1, size))
-                k1, k2 = zip(*map(_keys, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "k1", "k2", "values"])
+    def sets_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in cells(batch, "text"):
+            sets = list(shingle_sets(part, 1, size))
+            k1, k2 = zip(*map(_keys, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "k1", "k2", "values"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = _marked(docs, wanted.select(F.col("node").alias("id"))).mapInArrow(run, f"node {kind}, k1 long, k2 long, values array<long>")
+    found = _marked(docs, wanted.select(F.col("node").alias("id")), sets_of, f"node {kind}, k1 long, k2 long, values array<long>")
     return found.join(wanted, ["node", "k1", "k2"]).select("node", "n", "k1", "values")
 
 
@@ -183,7 +184,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the sketches leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             sides = []
             for c in (4, 5):
@@ -203,13 +204,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             for part in cells(batch, "ta"):
                 sets = zip(shingle_sets(part, 2, size), shingle_sets(part, 3, size), strict=True)
                 yield part.filter(pa.array([similar(x, y, percent) for x, y in sets], pa.bool_())).select([0, 1])
 
     kind = docs.schema["id"].dataType.simpleString()
-    texts = materialize(_marked(docs, ids), "texts")
+    texts = materialize(_marked(docs, ids, lambda batch: iter([batch]), f"id {docs.schema['id'].dataType.simpleString()}, text string"), "texts")
     joined = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from blockloom.llm.bpe import resolve
-from blockloom.llm.common import first_columns, plain
+from blockloom.llm.common import first_columns, plain, steady
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -80,7 +80,7 @@ def scan(docs: DataFrame, *, vocab: str = "byte_bpe_multi_50k.tiktoken", ratio:
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             found = [spans_of(t.as_py() or "", vocab, ratio) for t in batch.column(1)]
             base = [[x for x in spans if x[1] < 3] for spans in found]
             yield pa.RecordBatch.from_arrays(
@@ -104,7 +104,7 @@ def redact(docs: DataFrame, *, vocab: str = "byte_bpe_multi_50k.tiktoken", ratio
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steady(batches):
             at, texts, columns = names.index(text_col), [], list(batch.columns)
             for cell in batch.column(at):
                 text = cell.as_py()

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from blockloom.llm.bpe import grouped, merges
-from blockloom.llm.common import WORK_BYTES, first_columns
+from blockloom.llm.common import WORK_BYTES, first_columns, steady
 
 #: Pre-tokens whose counts a worker remembers; beyond, it starts anew. Bounds memory, never a result.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Pre-tokens over this many bytes are read through the transducer's window.
 LONG = 4096
 
@@ -29,8 +29,8 @@ class Counter:
     def learn(self, words: set[str]) -> None:
         """Count pre-tokens not seen before: all of them advance through the merges together."""
         short = [(w, b) for w in words if len(b := w.encode()) <= LONG]
-        for k in range(0, len(short), 50_000):
-            part = short[k : k + 50_000]
+        for k in range(0, len(short), 20_000):
+            part = short[k : k + 20_000]
             _, starts = self.merges.lockstep([b for _, b in part])
             self.known.update(zip((w for w, _ in part), np.diff(starts).tolist(), strict=True))
 
@@ -43,7 +43,7 @@ class Counter:
                     continue
                 self.held.append((k, words := self.merges.pretokens(piece)))
                 n += len(words)
-                if n > 400_000:
+                if n > 100_000:
                     self._flush(totals)
                     n = 0
         self._flush(totals)
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, *, vocab: str = "byte_bpe_50k.json", limit: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.setdefault(vocab, Counter(vocab))
-        for batch in batches:
+        for batch in steady(batches):
             texts = batch.column(1).to_pylist()
             counted = np.fromiter((n for _, group in grouped(texts, WORK_BYTES) for n in counter.counts(group)), np.int64, len(texts))
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
