@@ -85,15 +85,18 @@ def matches_of(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, i
     joined = b" " + b" ".join(words) + b" "
     exact = []
     for phrase, label in PHRASES.items():
-        seek, at = f" {phrase} ".encode(), -1
+        seek, at, word, counted = f" {phrase} ".encode(), -1, 0, 0
         while (at := joined.find(seek, at + 1)) >= 0:
-            exact.append((joined.count(b" ", 0, at), label))
+            word, counted = word + joined.count(b" ", counted, at), at
+            exact.append((word, label))
     body = joined[1:-1].decode("utf-8", "surrogatepass")
     notices = []
     if near := fuzzy(body):
         starts = [m.span() for m in _WORD.finditer(text.translate(_UPPER))]
+        first = counted = 0
         for a, b, n, edits in near:
-            first, last = body.count(" ", 0, a), body.count(" ", 0, max(a, b - 1))
+            first, counted = first + body.count(" ", counted, a), a
+            last = first + body.count(" ", a, max(a, b - 1))
             notices.append((starts[first][0], starts[last][1], NOTICES[n][0], edits))
     return len(words), sorted(exact), notices
 
