@@ -2,59 +2,33 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text held in numpy work arrays at once, in bytes. Only the size of the working set depends on it.
-WORK_BYTES = 1 << 19
-
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+from blockloom.storage import materialize, table
 
+__all__ = ["bit_field", "cells", "column", "discard", "first_columns", "fresh", "mark_of", "materialize", "only", "perhaps_in", "plain", "raw", "steady", "table", "unpacked", "without"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Text held in numpy work arrays at once, in bytes. Only the size of the working set depends on it.
+WORK_BYTES = 1 << 19
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.blockloom.local.checkpoint", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="blockloom-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-            spark.conf.set("spark.blockloom.local.checkpoint", found)
-    return found
+#: Bits by which rows that a join would drop are left out before it; a fixed number, whatever the input.
+MARKS = 1 << 22
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table into the shared folder and read it again.
 
-    Unlike checkpoint() the copy is columnar and compressed, and later reads prune its columns. Losing executors does
-    not lose it. The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize() which nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/blockloom/" in f}:
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by materialize() which nothing will read again."""
+    spark = tables[0].sparkSession
+    for folder in {f.rpartition("/")[0] for df in tables for f in df.inputFiles() if "/blockloom/" in f}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -68,6 +42,53 @@ def steady(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _trim(0)
 
 
+def bit_field(df: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """A field of `bits` bits, packed: those at the places (0 to bits - 1) that rows of df have are set.
+
+    Tasks set bits before the shuffle; the driver gets bits / 8 bytes, however many rows there are.
+    """
+    at = place.cast("long") + 1
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(-(-bits // 32768) * 4096, np.uint8)
+    for bucket, part in rows:
+        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def unpacked(field: np.ndarray) -> np.ndarray:
+    return np.unpackbits(field, bitorder="little").view(bool)
+
+
+def mark_of(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARKS))
+
+
+def perhaps_in(df: DataFrame, key: str, ids: DataFrame) -> Column:
+    """Whether a row's key may be among ids (one column of the same type): false is certain. A field of fixed size tells."""
+    shared = df.sparkSession.sparkContext.broadcast(bit_field(ids, mark_of(F.col(f"`{ids.columns[0]}`")), MARKS))
+
+    @F.pandas_udf("boolean")
+    def known(marks: pd.Series) -> pd.Series:
+        return pd.Series(unpacked(shared.value)[marks.to_numpy()])
+
+    return known(mark_of(F.col(f"`{key}`")))
+
+
+def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ids; most others are left out before the shuffle."""
+    some = df.where(perhaps_in(df, key, ids))
+    name = fresh(df, "only")
+    return some.join(ids.toDF(name), some[f"`{key}`"].eqNullSafe(F.col(name)), "left_semi")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is not among ids; only rows that may be are shuffled."""
+    perhaps, name = fresh(df, "perhaps"), fresh(df, "without")
+    told = df.withColumn(perhaps, perhaps_in(df, key, ids))
+    rest = told.where(F.col(perhaps)).join(ids.toDF(name), told[f"`{key}`"].eqNullSafe(F.col(name)), "left_anti")
+    return told.where(~F.col(perhaps)).unionByName(rest).drop(perhaps)
+
+
 def cells(batch: pa.RecordBatch, column: str, budget: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with at most budget bytes of text each, and one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

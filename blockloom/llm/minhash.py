@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw, steady
+from blockloom.llm.common import MARKS, bit_field, cells, column, discard, first_columns, fresh, mark_of, materialize, only, perhaps_in, raw, steady, unpacked, without
 from blockloom.llm.components import components
 from blockloom.llm.words import SPACED, window_hashes, word_hashes
 
@@ -28,8 +28,6 @@ FEW = 16
 SHORT = 32
 #: Documents of which a larger share of the retained values is frequent are compared by prefixes of their full sets.
 DENSE = 0.45
-#: Bits by which documents without a candidate are left out before texts are shuffled; a fixed number too.
-MARKS = 1 << 22
 
 
 def shingle_sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[np.ndarray]:
@@ -126,7 +124,7 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     counts = few.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(few.join(counts, "value"), "members")
     long_ = members.where(F.col("members") > SHORT)
-    busy = materialize(nodes.join(long_.select("node").distinct(), "node", "left_semi"), "busy")
+    busy = materialize(only(nodes, "node", materialize(long_.select("node").distinct(), "long")), "busy")
     cool = _flagged(busy.select("node", "n", "k1", "k2", F.explode("sketch").alias("value")), ["node", "n", "k1", "k2"])
     cool = materialize(cool.select("node", "n", "k1", "k2", (F.col("h") / F.size("ordered")).alias("f"), F.transform(F.filter("ordered", lambda x: x.often == 0), lambda x: x.value).alias("cool")), "cool")
     steps = sorted({0.0, DENSE, *[k / 20 for k in range(1, int(DENSE * 20))]})
@@ -148,17 +146,14 @@ def _marked(docs: DataFrame, ids: DataFrame, use: Callable[[pa.RecordBatch], Ite
 
     A bit field of fixed size tells these before any shuffle.
     """
-    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    bits = np.zeros(MARKS, bool)
-    bits[[r[0] for r in ids.select(mark.cast("int")).distinct().collect()]] = True  # at most MARKS
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_field(ids, mark_of("id"), MARKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).view(bool)
+        known = unpacked(shared.value)
         for batch in steady(batches):
             yield from use(batch.filter(pa.array(known[batch.column(2).to_numpy(zero_copy_only=False)])).select([0, 1]))
 
-    return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark.alias("mark")).mapInArrow(run, schema)
+    return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark_of("id").alias("mark")).mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -194,6 +189,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     own = nodes.select("node", "n", "sketch")
+    own = own.where(perhaps_in(own, "node", pairs.select("a").union(pairs.select("b"))))
     left, right = own.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), own.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"})
     kind = nodes.schema["node"].dataType.simpleString()
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -233,9 +229,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     component. Other columns are not read; an empty table gives an empty result.
     """
     base = first_columns(docs, id=id_col, text=text_col)
-    rows = materialize(sketches(base, shingle, "id", "text"), "sketches")
-    nodes = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+    rows = materialize(sketches(base, shingle, "id", "text").withColumn("row", F.monotonically_increasing_id()), "sketches")
+    slim = rows.select("id", "row", "n", "k1", "k2")
+    sets = slim.where(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "row")).alias("m"))
+    sets = materialize(sets.select("k1", "k2", "n", F.col("m.id").alias("node"), F.col("m.row").alias("first")), "sets")
+    named = materialize(slim.join(sets, ["k1", "k2", "n"], "left").select("id", "row", "n", "node", "first"), "named")
+    others = named.where("id IS NULL OR n = 0 OR row <> first").select("row")
+    nodes = materialize(without(rows, "row", others).select(F.col("id").alias("node"), "n", "k1", "k2", "sketch"), "nodes")
+    discard(rows, sets)
     lists, key = materialize(_lists(nodes, base, shingle, percent), "lists"), ["kind", "value"]
     heads = lists.groupBy(*key).agg(F.min(F.struct((F.col("n") - F.col("h")).alias("others"), "node", "n")).alias("m"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     heads = heads.select(*key, F.col("m.node").alias("head"), F.col("m.n").alias("n_head"))
@@ -252,11 +253,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     x, y = rest.withColumnsRenamed({"node": "a", "n": "na", "h": "ha", "part": "pa"}), rest.withColumnsRenamed({"node": "b", "n": "nb", "h": "hb", "part": "pb"})
     enough = F.least("ha", "hb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     second = x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb", percent) & enough).select("a", "b").distinct()
-    second = materialize(_filtered(second.join(first, ["a", "b"], "left_anti"), nodes, percent), "plausible")
+    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(lists, members)
+    second = materialize(_filtered(second, nodes, percent), "plausible")
     more = materialize(_confirmed(second, base, shingle, percent), "confirmed")
     parts = components(links.union(more)) if more.head(1) else parts
 
-    named = rows.select("id", "n", "k1", "k2").join(nodes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left")
+    discard(nodes, labelled, first, links, second, more)
     joined = named.join(parts.withColumnsRenamed({"id": "node"}), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
@@ -267,12 +270,12 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col
     own, text, kept_id = column(id_col), column(text_col), fresh(docs, "kept_id")
     found = near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
     counted = materialize(found.where(F.col("kept") & own.isNotNull()).groupBy(own.alias(kept_id)).agg(F.count("*").alias("rows")), "kept")
-    once = counted.where("rows = 1").select(kept_id)
-    out = docs.join(once, own == F.col(kept_id), "left_semi").unionByName(docs.where(own.isNull()))
+    gone = materialize(found.where(~F.col("kept")).select(own).unionByName(counted.where("rows > 1").select(F.col(kept_id).alias(id_col))).distinct(), "gone")
+    out = without(docs, id_col, gone)
     repeated = counted.where("rows > 1").select(kept_id)
     if repeated.head(1):
         same = fresh(docs, "same_text")
-        again = docs.join(repeated, own == F.col(kept_id), "left_semi").withColumn(same, F.xxhash64(text))
+        again = only(docs, id_col, repeated).withColumn(same, F.xxhash64(text))
         out = out.unionByName(again.dropDuplicates([id_col, same]).drop(same))
     return out
 
