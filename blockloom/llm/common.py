@@ -63,29 +63,28 @@ def mark_of(key: Column | str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(MARKS))
 
 
-def perhaps_in(df: DataFrame, key: str, ids: DataFrame) -> Column:
+def perhaps_in(df: DataFrame, key: Column, ids: DataFrame) -> Column:
     """Whether a row's key may be among ids (one column of the same type): false is certain. A field of fixed size tells."""
-    shared = df.sparkSession.sparkContext.broadcast(bit_field(ids, mark_of(F.col(f"`{ids.columns[0]}`")), MARKS))
+    shared = df.sparkSession.sparkContext.broadcast(bit_field(ids, mark_of(column(ids.columns[0])), MARKS))
 
     @F.pandas_udf("boolean")
     def known(marks: pd.Series) -> pd.Series:
         return pd.Series(unpacked(shared.value)[marks.to_numpy()])
 
-    return known(mark_of(F.col(f"`{key}`")))
+    return known(mark_of(key))
 
 
-def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def only(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose key is among ids; most others are left out before the shuffle."""
-    some = df.where(perhaps_in(df, key, ids))
     name = fresh(df, "only")
-    return some.join(ids.toDF(name), some[f"`{key}`"].eqNullSafe(F.col(name)), "left_semi")
+    return df.where(perhaps_in(df, key, ids)).join(ids.toDF(name), key.eqNullSafe(F.col(name)), "left_semi")
 
 
-def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def without(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose key is not among ids; only rows that may be are shuffled."""
     perhaps, name = fresh(df, "perhaps"), fresh(df, "without")
     told = df.withColumn(perhaps, perhaps_in(df, key, ids))
-    rest = told.where(F.col(perhaps)).join(ids.toDF(name), told[f"`{key}`"].eqNullSafe(F.col(name)), "left_anti")
+    rest = told.where(F.col(perhaps)).join(ids.toDF(name), key.eqNullSafe(F.col(name)), "left_anti")
     return told.where(~F.col(perhaps)).unionByName(rest).drop(perhaps)
 
 

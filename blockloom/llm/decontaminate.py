@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cells, column, first_columns, fresh, materialize, raw, steady
+from blockloom.llm.common import bit_field, cells, column, first_columns, materialize, raw, steady, unpacked, without
 from blockloom.llm.words import ALPHANUMERIC, window_hashes, word_hashes
 
 WINDOW = 13
@@ -78,18 +78,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
     known = materialize(first_columns(benchmark, item=item_col, text=item_text_col).mapInArrow(seeds_of, f"item {items}, words array<long>, places array<long>, hashes array<long>").withColumn("item_row", F.monotonically_increasing_id()), "items")
     seeds = known.select("item_row", F.explode(F.arrays_zip("places", "hashes")).alias("s")).select("item_row", F.col("s.places").alias("place"), F.col("s.hashes").alias("hash"))
-    high, low = F.shiftrightunsigned("hash", 64 - BITS), F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1))
-    fields = []
-    for field in (high, low):
-        bits = np.zeros(1 << BITS, bool)
-        bits[[r[0] for r in seeds.select(field).distinct().collect()]] = True  # at most 2^BITS
-        fields.append(np.packbits(bits))
+    places = (F.shiftrightunsigned("hash", 64 - BITS), F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1)))
+    fields = [bit_field(seeds, place, 1 << BITS) for place in places]
     lengths = sorted({r[0] for r in known.select(F.size("words")).where(F.size("words") < SHORT).distinct().collect()})  # at most SHORT - LEAST
     masks = _masks() + [tuple(range(n)) for n in lengths]
     shared = spark.sparkContext.broadcast(fields)
 
     def hits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = (np.unpackbits(f).view(bool) for f in shared.value)
+        a, b = map(unpacked, shared.value)
         for batch in steady(batches):
             schema = pa.schema([("id", batch.schema.field(0).type), ("places", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
             for part in cells(batch, "text"):
@@ -144,8 +140,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """The rows, all columns as they are, that overlap with no item. A row without an id is told by its text."""
     key = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(column(text_col)).cast("string")))
     found = overlaps(docs.select(key.alias("key"), column(text_col).alias("text")), benchmark, id_col="key", text_col="text")
-    leaks = materialize(found.select(F.col("key").alias(fresh(docs, "leak"))).distinct(), "leaks")
-    return docs.join(leaks, key == leaks[leaks.columns[0]], "left_anti")
+    return without(docs, key, materialize(found.select("key").distinct(), "leaks"))
 
 
 #: The same from contiguous seeds: any such window holds four consecutive equal words.

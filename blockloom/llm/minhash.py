@@ -124,7 +124,7 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     counts = few.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(few.join(counts, "value"), "members")
     long_ = members.where(F.col("members") > SHORT)
-    busy = materialize(only(nodes, "node", materialize(long_.select("node").distinct(), "long")), "busy")
+    busy = materialize(only(nodes, F.col("node"), materialize(long_.select("node").distinct(), "long")), "busy")
     cool = _flagged(busy.select("node", "n", "k1", "k2", F.explode("sketch").alias("value")), ["node", "n", "k1", "k2"])
     cool = materialize(cool.select("node", "n", "k1", "k2", (F.col("h") / F.size("ordered")).alias("f"), F.transform(F.filter("ordered", lambda x: x.often == 0), lambda x: x.value).alias("cool")), "cool")
     steps = sorted({0.0, DENSE, *[k / 20 for k in range(1, int(DENSE * 20))]})
@@ -189,7 +189,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     own = nodes.select("node", "n", "sketch")
-    own = own.where(perhaps_in(own, "node", pairs.select("a").union(pairs.select("b"))))
+    own = own.where(perhaps_in(own, F.col("node"), pairs.select("a").union(pairs.select("b"))))
     left, right = own.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), own.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"})
     kind = nodes.schema["node"].dataType.simpleString()
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     sets = materialize(sets.select("k1", "k2", "n", F.col("m.id").alias("node"), F.col("m.row").alias("first")), "sets")
     named = materialize(slim.join(sets, ["k1", "k2", "n"], "left").select("id", "row", "n", "node", "first"), "named")
     others = named.where("id IS NULL OR n = 0 OR row <> first").select("row")
-    nodes = materialize(without(rows, "row", others).select(F.col("id").alias("node"), "n", "k1", "k2", "sketch"), "nodes")
+    nodes = materialize(without(rows, F.col("row"), others).select(F.col("id").alias("node"), "n", "k1", "k2", "sketch"), "nodes")
     discard(rows, sets)
     lists, key = materialize(_lists(nodes, base, shingle, percent), "lists"), ["kind", "value"]
     heads = lists.groupBy(*key).agg(F.min(F.struct((F.col("n") - F.col("h")).alias("others"), "node", "n")).alias("m"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -271,11 +271,11 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col
     found = near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
     counted = materialize(found.where(F.col("kept") & own.isNotNull()).groupBy(own.alias(kept_id)).agg(F.count("*").alias("rows")), "kept")
     gone = materialize(found.where(~F.col("kept")).select(own).unionByName(counted.where("rows > 1").select(F.col(kept_id).alias(id_col))).distinct(), "gone")
-    out = without(docs, id_col, gone)
+    out = without(docs, own, gone)
     repeated = counted.where("rows > 1").select(kept_id)
     if repeated.head(1):
         same = fresh(docs, "same_text")
-        again = only(docs, id_col, repeated).withColumn(same, F.xxhash64(text))
+        again = only(docs, own, repeated).withColumn(same, F.xxhash64(text))
         out = out.unionByName(again.dropDuplicates([id_col, same]).drop(same))
     return out
 
