@@ -1,6 +1,8 @@
 """Registered queries against their DuckDB texts on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -18,6 +20,23 @@ def test_flagship(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_without_the_optional_folder():
+    """The entry point and its queries stand alone where the llm folder is missing."""
+    code = """
+import sys
+class Missing:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith(("blockloom.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Missing())
+import __spark_entry__ as e
+from blockloom import catalog
+assert set(e.queries()) == set(catalog.QUERIES) and set(e.oracle_sql()) == set(catalog.ORACLES)
+"""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     cell = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
