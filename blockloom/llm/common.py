@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blockloom.storage import materialize, table
 
-__all__ = ["bit_field", "cells", "column", "discard", "first_columns", "fresh", "mark_of", "materialize", "only", "perhaps_in", "plain", "raw", "steady", "table", "unpacked", "without"]
+__all__ = ["bit_field", "bounded", "cells", "column", "discard", "first_columns", "fresh", "mark_of", "materialize", "only", "perhaps_in", "plain", "raw", "steady", "table", "unpacked", "without"]
 
 #: Text held in numpy work arrays at once, in bytes. Only the size of the working set depends on it.
 WORK_BYTES = 1 << 19
@@ -22,6 +22,10 @@ WORK_BYTES = 1 << 19
 #: Bits by which rows that a join would drop are left out before it; a fixed number, whatever the input.
 MARKS = 1 << 22
 
+#: Rows that Python functions get at once, in bytes. Whole texts of Spark's 10,000 rows can be far more.
+BATCH_BYTES = "4m"
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
@@ -123,9 +127,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df. From here on its session holds batches for Python functions to BATCH_BYTES, unless a bound of its own is set."""
+    if df.sparkSession.conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def plain(df: DataFrame) -> DataFrame:
     """df with columns c0, c1, ...: names that Python functions over whole rows can take."""
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return bounded(df).toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def column(name: str) -> Column:
@@ -134,4 +145,4 @@ def column(name: str) -> Column:
 
 def first_columns(docs: DataFrame, **named: str) -> DataFrame:
     """The columns an operator needs under fixed names; others, whatever they are called, do not get in its way."""
-    return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in named.items()])
+    return bounded(docs).select(*[F.col(f"`{old}`").alias(new) for new, old in named.items()])
