@@ -26,6 +26,8 @@ K = 128
 FEW = 16
 #: Members up to which a list is short and its pairs may be tested one by one. Longer lists are of frequent values.
 SHORT = 32
+#: Smallest retained values that are looked at to tell how many of a document's are frequent.
+LOOKED = 64
 #: Documents of which a larger share of the retained values is frequent are compared by prefixes of their full sets.
 DENSE = 0.45
 
@@ -99,13 +101,17 @@ def cool_values(f: float, percent: int) -> int:
     return max(FEW, math.ceil(math.log(1e-9) / math.log(1 - common)))
 
 
+def _frequent(entries: DataFrame) -> DataFrame:
+    """The values that more than SHORT of the entries have."""
+    return entries.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT).select("value")
+
+
 def _flagged(entries: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, h, ordered): how many of a document's values (entries: *keys, value) are frequent; its values, frequent ones last.
 
-    A value is frequent that more than SHORT of the entries have. The order is the same for all documents.
+    The order is the same for all documents.
     """
-    often = entries.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT).select("value", F.lit(1).alias("often"))
-    marked = entries.join(often, "value", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    marked = entries.join(_frequent(entries).withColumn("often", F.lit(1)), "value", "left").withColumn("often", F.coalesce("often", F.lit(0)))
     return marked.groupBy(*keys).agg(F.sum("often").alias("h"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("ordered"))
 
 
@@ -124,9 +130,12 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     counts = few.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(few.join(counts, "value"), "members")
     long_ = members.where(F.col("members") > SHORT)
-    busy = materialize(only(nodes, F.col("node"), materialize(long_.select("node").distinct(), "long")), "busy")
-    cool = _flagged(busy.select("node", "n", "k1", "k2", F.explode("sketch").alias("value")), ["node", "n", "k1", "k2"])
-    cool = materialize(cool.select("node", "n", "k1", "k2", (F.col("h") / F.size("ordered")).alias("f"), F.transform(F.filter("ordered", lambda x: x.often == 0), lambda x: x.value).alias("cool")), "cool")
+    busy = only(nodes, F.col("node"), materialize(long_.select("node").distinct(), "long")).select("node", "n", "k1", "k2", F.slice("sketch", 1, LOOKED).alias("own"))
+    busy = materialize(busy.withColumn("at", F.monotonically_increasing_id()), "busy")
+    entries = busy.select("at", F.explode("own").alias("value"))
+    hot = entries.join(_frequent(entries), "value").groupBy("at").agg(F.collect_list("value").alias("hot"))
+    cool = busy.join(hot, "at", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
+    cool = materialize(cool.select("node", "n", "k1", "k2", (F.size("hot") / F.size("own")).alias("f"), F.array_except("own", "hot").alias("cool")), "cool")
     steps = sorted({0.0, DENSE, *[k / 20 for k in range(1, int(DENSE * 20))]})
     many = functools.reduce(lambda out, f: F.when(F.col("f") <= f, cool_values(f, percent)).otherwise(out), reversed(steps), F.lit(cool_values(DENSE, percent)))
     second = cool.select(F.explode(F.slice("cool", F.lit(1), many)).alias("value"), "node", "n")
