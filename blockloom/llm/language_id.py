@@ -24,6 +24,8 @@ BUCKETS = 1 << 13
 GROUP = 256
 #: Neighbouring n-grams share letters, so each letter is counted about so many times.
 OVERLAP = 3.0
+#: Texts of fewer distinct n-grams are not rejected as of no learned language.
+FEW = 4
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _LETTER = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
@@ -59,8 +61,15 @@ class Model:
 
     def predict(self, texts: list[str], steps: int = 8, most: int = 3, penalty: float = 0.5) -> list[tuple[str, float]]:
         """(language, share) of texts that all have letters."""
+        return [x[:2] for x in self.explain(texts, steps, most, penalty)]
+
+    def explain(self, texts: list[str], steps: int = 8, most: int = 3, penalty: float = 0.5) -> list[tuple[str, float, float, int]]:
+        """(language, share, gain, distinct n-grams) of texts that all have letters.
+
+        gain: by how much the chosen mixture's log-likelihood an n-gram is above that of n-grams drawn evenly.
+        """
         if not self.languages:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+            return [(UNDETERMINED, 0.0, 0.0, 0)] * len(texts)
         counts = gram_counts(texts)
         doc, bucket = np.nonzero(counts)
         c, p, n = counts[doc, bucket].astype(float), self.p[bucket], len(texts)
@@ -71,6 +80,7 @@ class Model:
         order = np.argsort(-share, axis=1, kind="stable")
         best_k = np.argmax(alone, axis=1)
         gain = alone[np.arange(n), best_k]
+        whole = gain.copy()
         chosen = np.zeros_like(share)
         chosen[np.arange(n), best_k] = 1
         cost = penalty * OVERLAP * np.log(total)
@@ -80,14 +90,15 @@ class Model:
                 start[np.arange(n), order[:, j]] = np.maximum(share[np.arange(n), order[:, j]], 1e-3)
             start /= start.sum(1, keepdims=True)
             mixed, fit = self._em(doc, c, p, total, start, steps)
-            fit = fit - (m - 1) * cost
-            better = fit > gain
-            chosen[better], gain = mixed[better], np.maximum(fit, gain)
+            better = fit - (m - 1) * cost > gain
+            chosen[better], whole[better] = mixed[better], fit[better]
+            gain = np.maximum(fit - (m - 1) * cost, gain)
         top = np.argmax(chosen, axis=1)
         # Of one language, the share is 1: what counts is how likely the others are.
         sure = 1 / np.exp((alone - alone[np.arange(n), best_k][:, None]) / OVERLAP).sum(1)
         score = np.where(chosen[np.arange(n), top] > 1 - 1e-9, sure, chosen[np.arange(n), top])
-        return [(self.languages[k], float(min(1.0, s))) for k, s in zip(top, score, strict=True)]
+        over, kinds = whole / total + np.log(BUCKETS), np.bincount(doc, minlength=n)
+        return [(self.languages[k], float(min(1.0, s)), float(g), int(d)) for k, s, g, d in zip(top, score, over, kinds, strict=True)]
 
     @staticmethod
     def _em(doc: np.ndarray, c: np.ndarray, p: np.ndarray, total: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +185,12 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return first_columns(docs, id=id_col, text=text_col, **{f"keep{j}": c for j, c in enumerate(keep)}).mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose text is in a learned language: one that has a share of `least` or more.
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text the learned languages account for, alone or mixed in any shares.
 
-    Texts without a letter, null texts and texts that no language accounts for are rejected.
+    They do where the chosen mixture gives its n-grams a higher likelihood than evenly drawn ones have. Texts without a
+    letter, null texts and all texts under an empty model are rejected; texts of under FEW distinct n-grams say too
+    little and are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(text_col)
@@ -190,8 +203,8 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, text_col: str
             rows = [k for k, t in enumerate(texts) if has_letter(t)]
             own = [texts[k] for k in rows]
             for group in groups(own):
-                for k, (lang, score) in zip(group, known.predict([own[k] for k in group]), strict=True):
-                    keep[rows[k]] = lang != UNDETERMINED and score >= least
+                for k, (lang, _, gain, kinds) in zip(group, known.explain([own[k] for k in group]), strict=True):
+                    keep[rows[k]] = lang != UNDETERMINED and (gain > 0 or kinds < FEW)
             yield batch.filter(pa.array(keep)).rename_columns(names)
 
     return plain(docs).mapInArrow(run, docs.schema)

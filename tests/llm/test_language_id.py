@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import pytest
@@ -70,6 +71,21 @@ def test_accepted_keeps_columns_and_rejects_what_is_no_language(spark):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(range(60))
 
 
+def test_accepted_keeps_even_mixtures_and_rejects_unlearned_languages(spark):
+    r = random.Random(4)
+    learned = {**LANGS, "l4": "los las una por con para como pero esta todo"}
+    rows = [(k, " ".join(r.choices(learned[f"l{k % 4 + 1}"].split(), k=80)), f"l{k % 4 + 1}") for k in range(400)]
+    mixed = [(1000 + k, " ".join(" ".join(r.choices(learned[x].split(), k=60)) for x in r.sample(sorted(learned), 3 + k % 2)), None) for k in range(20)]
+    foreign = [
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και μετά τρέχει στο δάσος",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+    ]
+    docs = documents(spark, [*rows, *mixed, *[(2000 + k, t, None) for k, t in enumerate(foreign)], (3000, "x", None)])
+    out = language_id.accepted(docs, language_id.fit(docs.where("lang IS NOT NULL")))
+    assert {r.doc_id for r in out.collect()} == {*range(400), *range(1000, 1020), 3000}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_held_out_accuracy(spark):
     lang = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
