@@ -59,13 +59,14 @@ class Model:
     languages: tuple[str, ...]
     p: np.ndarray
 
-    def predict(self, texts: list[str], steps: int = 8, most: int = 3, penalty: float = 0.5) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str], steps: int = 8, penalty: float = 0.5) -> list[tuple[str, float]]:
         """(language, share) of texts that all have letters."""
-        return [x[:2] for x in self.explain(texts, steps, most, penalty)]
+        return [x[:2] for x in self.explain(texts, steps, penalty)]
 
-    def explain(self, texts: list[str], steps: int = 8, most: int = 3, penalty: float = 0.5) -> list[tuple[str, float, float, int]]:
+    def explain(self, texts: list[str], steps: int = 8, penalty: float = 0.5) -> list[tuple[str, float, float, int]]:
         """(language, share, gain, distinct n-grams) of texts that all have letters.
 
+        Sets of every size up to all languages are tried, but those whose likelihood cannot make up for their penalty.
         gain: by how much the chosen mixture's log-likelihood an n-gram is above that of n-grams drawn evenly.
         """
         if not self.languages:
@@ -84,20 +85,32 @@ class Model:
         chosen = np.zeros_like(share)
         chosen[np.arange(n), best_k] = 1
         cost = penalty * OVERLAP * np.log(total)
-        for m in range(2, min(most, p.shape[1]) + 1):
-            start = np.zeros_like(share)
+        kinds, length = np.bincount(doc, minlength=n), total
+        # No mixture's likelihood is above bound (Jensen's inequality at the mixture of all languages).
+        mix = (p * share[doc]).sum(1)
+        ratio = np.stack([np.bincount(doc, c * p[:, k] / mix, n) for k in range(p.shape[1])], 1).max(1) / total
+        bound = np.bincount(doc, c * np.log(mix), n) + total * np.log(np.maximum(ratio, 1))
+        live = np.arange(n)
+        for m in range(2, p.shape[1] + 1):
+            some = bound[live] - (m - 1) * cost[live] > gain[live]
+            if not some.any():
+                break
+            held = some[doc]
+            doc, c, p = (np.cumsum(some) - 1)[doc[held]], c[held], p[held]
+            live, total = live[some], total[some]
+            start, rows = np.zeros((len(live), p.shape[1])), np.arange(len(live))
             for j in range(m):
-                start[np.arange(n), order[:, j]] = np.maximum(share[np.arange(n), order[:, j]], 1e-3)
+                start[rows, order[live, j]] = np.maximum(share[live, order[live, j]], 1e-3)
             start /= start.sum(1, keepdims=True)
             mixed, fit = self._em(doc, c, p, total, start, steps)
-            better = fit - (m - 1) * cost > gain
-            chosen[better], whole[better] = mixed[better], fit[better]
-            gain = np.maximum(fit - (m - 1) * cost, gain)
+            better = fit - (m - 1) * cost[live] > gain[live]
+            chosen[live[better]], whole[live[better]] = mixed[better], fit[better]
+            gain[live] = np.maximum(fit - (m - 1) * cost[live], gain[live])
         top = np.argmax(chosen, axis=1)
         # Of one language, the share is 1: what counts is how likely the others are.
         sure = 1 / np.exp((alone - alone[np.arange(n), best_k][:, None]) / OVERLAP).sum(1)
         score = np.where(chosen[np.arange(n), top] > 1 - 1e-9, sure, chosen[np.arange(n), top])
-        over, kinds = whole / total + np.log(BUCKETS), np.bincount(doc, minlength=n)
+        over = whole / length + np.log(BUCKETS)
         return [(self.languages[k], float(min(1.0, s)), float(g), int(d)) for k, s, g, d in zip(top, score, over, kinds, strict=True)]
 
     @staticmethod

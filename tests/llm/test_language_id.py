@@ -58,6 +58,16 @@ def test_mixtures(spark):
     assert lang == "l1" and 0.5 < share < 0.85 and one == "l2" and sure > 0.99
 
 
+def test_mixtures_of_every_number_of_languages(spark):
+    words = [*LANGS.values(), "los las una por con para como pero esta todo", "och att det som hon inte jag var sig med"]
+    docs = documents(spark, [(k, words[k % 5] + " " + words[k % 5][::-1], f"l{k % 5 + 1}") for k in range(100)])
+    model = language_id.fit(docs)
+    assert len(model.languages) == 5
+    for n in (2, 3, 4, 5):
+        ((_, share),) = model.predict([" ".join((words[k] + " " + words[k][::-1] + " ") * 8 for k in range(n))])
+        assert 1 / n <= share < 1.25 / n
+
+
 def test_nothing_to_learn_or_predict(spark):
     docs = documents(spark, labelled())
     none = language_id.fit(docs.limit(0))
