@@ -73,9 +73,14 @@ def fuzzy(words: str) -> list[tuple[int, int, int, int]]:
         own.sort()
         done = 0
         for lo, hi in own:
-            for m in patterns[n].finditer(words, max(lo, done), hi):
-                out.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
-                done = m.end()
+            # The best match may lie behind another: both sides of it are searched.
+            parts = [(max(lo, done), hi)]
+            while parts:
+                a, b = parts.pop()
+                if b - a >= len(NOTICES[n][1]) - NOTICES[n][2] and (m := patterns[n].search(words, a, b)):
+                    out.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
+                    done = max(done, m.end())
+                    parts += [(a, m.start()), (m.end(), b)]
     return sorted(out)
 
 

@@ -81,5 +81,12 @@ def test_seeds_lose_nothing(seed):
         assert bool(patterns[n].search(text)) == any(x[2] == n for x in license_scan.fuzzy(text))
 
 
+def test_neighbouring_copies_are_all_found():
+    exact, inexact = "all rights reserved", "all rigts reserved"
+    for copies in ([inexact, exact], [exact, inexact], [inexact, exact, inexact, inexact, exact], [inexact] * 3):
+        found = [x for x in license_scan.fuzzy(" ".join(copies)) if license_scan.NOTICES[x[2]][1] == exact]
+        assert [x[3] for x in found] == [int(c == inexact) for c in copies]
+
+
 def test_empty_table(spark):
     assert license_scan.scan(documents(spark, [])).collect() == []
