@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from blockloom.storage import materialize
 
 
-def expand_levels(roots: DataFrame, step: Callable[[DataFrame, int], DataFrame], *, max_depth: int = 1_000, token=None, cut_every: int = 1) -> list[DataFrame]:
+def expand_levels(roots: DataFrame, step: Callable[[DataFrame, int], DataFrame], *, max_depth: int | None = None, token=None, cut_every: int = 1) -> list[DataFrame]:
     """The levels of a tree, roots first. step(level, depth) gives the children; each level is written once.
 
-    A stopped token or max_depth ends the descent before the next level.
+    A stopped token or max_depth ends the descent before the next level; by default no depth does.
     """
     levels, depth = [materialize(roots, "level")], 0
-    while depth < max_depth and not (token is not None and token.stop_requested):
+    while (max_depth is None or depth < max_depth) and not (token is not None and token.stop_requested):
         after = materialize(step(levels[-1], depth), "level")
         if after.isEmpty():
             break

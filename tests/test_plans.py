@@ -166,3 +166,19 @@ def test_heat(spark):
         grid = [0.25 * (grid[p - n] + grid[p + n] + grid[p - 1] + grid[p + 1]) if 0 < p // n < n - 1 and 0 < p % n < n - 1 else grid[p] for p in range(n * n)]
     out = kernels.heat(kernels.lcg_grid(spark, n, 0xC1701), n, 5).collect()
     assert [c for r in sorted(out, key=lambda r: r.i) for c in r.cells] == grid
+
+
+def test_descent_has_no_depth_limit_by_default(monkeypatch):
+    class Level:
+        def __init__(self, left):
+            self.left = left
+
+        def isEmpty(self):
+            return self.left < 0
+
+    from blockloom.plans import recurse
+
+    monkeypatch.setattr(recurse, "materialize", lambda level, _: level)
+    below = lambda level, _: Level(level.left - 1)
+    assert len(recurse.expand_levels(Level(1_500), below)) == 1_501
+    assert len(recurse.expand_levels(Level(1_500), below, max_depth=7)) == 8
