@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.storage import materialize, table
 
-__all__ = ["bit_field", "bounded", "cells", "column", "discard", "first_columns", "fresh", "mark_of", "materialize", "only", "perhaps_in", "plain", "raw", "steady", "table", "unpacked", "without"]
+__all__ = ["bit_field", "bit_set", "cells", "column", "discard", "field_bits", "first_columns", "fresh", "materialize", "only", "plain", "raw", "resident", "small_batches", "steady", "table", "told", "without"]
 
 #: Text held in numpy work arrays at once, in bytes. Only the size of the working set depends on it.
 WORK_BYTES = 1 << 19
 
-#: Bits by which rows that a join would drop are left out before it; a fixed number, whatever the input.
-MARKS = 1 << 22
+#: Least and most bits of a field by which rows that a join would drop are left out before it.
+FIELD = (1 << 16, 1 << 27)
 
-#: Rows that Python functions get at once, in bytes. Whole texts of Spark's 10,000 rows can be far more.
-BATCH_BYTES = "4m"
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
@@ -46,6 +43,11 @@ def steady(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _trim(0)
 
 
+def field_bits(n: int) -> int:
+    """Bits of a field for n keys: eight a key, from FIELD[0] up to FIELD[1], whatever n."""
+    return min(max(1 << (8 * n - 1).bit_length() if n else 0, FIELD[0]), FIELD[1])
+
+
 def bit_field(df: DataFrame, place: Column, bits: int) -> np.ndarray:
     """A field of `bits` bits, packed: those at the places (0 to bits - 1) that rows of df have are set.
 
@@ -59,37 +61,55 @@ def bit_field(df: DataFrame, place: Column, bits: int) -> np.ndarray:
     return out
 
 
-def unpacked(field: np.ndarray) -> np.ndarray:
-    return np.unpackbits(field, bitorder="little").view(bool)
-
-
-def mark_of(key: Column | str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(MARKS))
+def bit_set(field: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the packed field's bits at the places are set."""
+    return (field[places >> 3] >> (places & 7).astype(np.uint8)) & 1 != 0
 
 
-def perhaps_in(df: DataFrame, key: Column, ids: DataFrame) -> Column:
-    """Whether a row's key may be among ids (one column of the same type): false is certain. A field of fixed size tells."""
-    shared = df.sparkSession.sparkContext.broadcast(bit_field(ids, mark_of(column(ids.columns[0])), MARKS))
+def told(df: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFrame:
+    """df with a column `name`: whether a row's key may be among ids (one column of the same type); false is certain.
 
-    @F.pandas_udf("boolean")
-    def known(marks: pd.Series) -> pd.Series:
-        return pd.Series(unpacked(shared.value)[marks.to_numpy()])
-
-    return known(mark_of(key))
+    A field of bits tells, whose size is taken from the number of ids up to FIELD[1] bits. It is a broadcast table of 4 KB
+    rows that each row of df meets once, in the JVM. More ids than bits could not be told apart: then all rows may be.
+    """
+    n = ids.count()
+    if n > FIELD[1] // 2:
+        return df.withColumn(name, F.lit(True))
+    bits = field_bits(n)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    own = place(column(ids.columns[0]))
+    taken = fresh(df, "field_bucket"), fresh(df, "field_bits"), fresh(df, "field_place")
+    field = ids.groupBy(F.bitmap_bucket_number(own).alias(taken[0])).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias(taken[1]))
+    at = F.col(taken[2])
+    met = df.withColumn(taken[2], place(key)).join(F.broadcast(field), F.bitmap_bucket_number(at) == F.col(taken[0]), "left")
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr(taken[1], F.shiftright(bit.cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn(name, F.coalesce(F.call_function("bit_get", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop(*taken)
 
 
 def only(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose key is among ids; most others are left out before the shuffle."""
-    name = fresh(df, "only")
-    return df.where(perhaps_in(df, key, ids)).join(ids.toDF(name), key.eqNullSafe(F.col(name)), "left_semi")
+    perhaps, name = fresh(df, "perhaps"), fresh(df, "only")
+    return told(df, key, ids, perhaps).where(F.col(perhaps)).drop(perhaps).join(ids.toDF(name), key.eqNullSafe(F.col(name)), "left_semi")
 
 
 def without(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     """The rows whose key is not among ids; only rows that may be are shuffled."""
     perhaps, name = fresh(df, "perhaps"), fresh(df, "without")
-    told = df.withColumn(perhaps, perhaps_in(df, key, ids))
-    rest = told.where(F.col(perhaps)).join(ids.toDF(name), key.eqNullSafe(F.col(name)), "left_anti")
-    return told.where(~F.col(perhaps)).unionByName(rest).drop(perhaps)
+    marked = told(df, key, ids, perhaps)
+    rest = marked.where(F.col(perhaps)).join(ids.toDF(name), key.eqNullSafe(F.col(name)), "left_anti")
+    return marked.where(~F.col(perhaps)).unionByName(rest).drop(perhaps)
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives for the key. A process holds one such object: a worker that goes on to another stage drops the last one."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
 
 
 def cells(batch: pa.RecordBatch, column: str, budget: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -127,16 +147,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df. From here on its session holds batches for Python functions to BATCH_BYTES, unless a bound of its own is set."""
-    if df.sparkSession.conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
-        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
-    return df
-
-
 def plain(df: DataFrame) -> DataFrame:
     """df with columns c0, c1, ...: names that Python functions over whole rows can take."""
-    return bounded(df).toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """For applications whose executors have little memory: Python functions get batches of at most `size`, unless the session says otherwise.
+
+    The operators never set this themselves; they work on any batch in slices of WORK_BYTES.
+    """
+    if spark.conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH, size)
 
 
 def column(name: str) -> Column:
@@ -145,4 +167,4 @@ def column(name: str) -> Column:
 
 def first_columns(docs: DataFrame, **named: str) -> DataFrame:
     """The columns an operator needs under fixed names; others, whatever they are called, do not get in its way."""
-    return bounded(docs).select(*[F.col(f"`{old}`").alias(new) for new, old in named.items()])
+    return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in named.items()])

@@ -15,131 +15,149 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bit_field, cells, column, first_columns, materialize, raw, steady, unpacked, without
-from blockloom.llm.words import ALPHANUMERIC, window_hashes, word_hashes
+from blockloom.llm.common import bit_field, bit_set, cells, column, field_bits, first_columns, materialize, raw, steady, without
+from blockloom.llm.words import ALPHANUMERIC, LOWER, Words, window_hashes, words_of
 
 WINDOW = 13
 #: Every window of 13 words with two substitutions, and of 8 to 12 with one, holds one of these whole.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 4, 5, 6, 7), (0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 5, 6))
-#: Items of under 8 words are sought whole, under LEAST not at all: they are no passages.
-LEAST, SHORT = 5, 8
-#: Two bit fields, of whatever the benchmark's size, that nearly all other windows fail to pass.
-BITS = 22
+#: Items of under 8 words are sought whole, without substitutions.
+SHORT = 8
+#: Words of a document that a row of hits covers, besides those needed around them.
+SLICE = 256
+#: Places of one seed's hash that one task meets with the items at least; beyond, and over a HOTth of all places, they are dealt over salts.
+SALTED, HOT = 1 << 14, 4096
+_BLANK = bytes(int(LOWER[c]) if ALPHANUMERIC[c] else 32 for c in range(256))
 
 
 def allowed(window: int) -> int:
     return 2 if window >= WINDOW else 1 if window >= SHORT else 0
 
 
-def _masks(n: int | None = None) -> list[tuple[int, ...]]:
-    return [tuple(range(n))] if n is not None and n < SHORT else list(MASKS)
+def _fields(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in fields of `bits` bits."""
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _fields(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _text(found: Words, first: int, last: int) -> bytes:
+    """The words from first to before last, joined by blanks."""
+    lo, hi = int(found.starts[first]), int(found.starts[last - 1] + found.lengths[last - 1])
+    return b" ".join(found.padded[lo:hi].tobytes().translate(_BLANK).split())
 
 
-def best_window(doc: np.ndarray, start: int, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """(window, words equal, the item's word where it begins) of the best window at one alignment; doc holds words from start on."""
+def best_window(doc: list[bytes], start: int, item: list[bytes], diagonal: int) -> tuple[int, int, int] | None:
+    """(window, words equal, the item's word where it begins) of the best window at one alignment, of equally good ones the first; doc holds words from start on."""
     w = min(WINDOW, len(item))
     lo, hi = max(0, start - diagonal), min(len(item), start + len(doc) - diagonal)
     if hi - lo < w:
         return None
-    same = np.concatenate([[0], np.cumsum(item[lo:hi] == doc[lo + diagonal - start : hi + diagonal - start])])
+    same = np.cumsum([0, *(x == y for x, y in zip(item[lo:hi], doc[lo + diagonal - start : hi + diagonal - start], strict=True))])
     counts = same[w:] - same[:-w]
     k = int(np.argmax(counts))
     return (w, int(counts[k]), lo + k) if counts[k] >= w - allowed(w) else None
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 1) -> DataFrame:
     """(id, item, window, matched): one row for each document and item that overlap, with the best window's equal words.
 
-    Documents are read once. Seeds of the benchmark set bits in two fields of fixed size; a document's windows that pass
-    both are joined by hash with the seeds, and each alignment so found is verified on the words around its hits, which
-    were kept with them. Documents without a hit leave nothing behind, texts are never shuffled.
+    Documents are read once. Seeds of the benchmark set bits in two fields, whose size follows their number up to a bound;
+    a document's windows that pass both are joined by hash with the seeds, and each alignment so found is verified on the
+    words around its hits, which were kept with them: the words themselves are compared, not their hashes. Documents
+    without a hit leave nothing behind, whole texts are never shuffled. A seed that very many places share is dealt over tasks.
 
-    Null and empty texts, and items of under 5 words, overlap with nothing. Repeated rows give one result an (id, item);
-    null ids stand for themselves. Other columns are not read; empty tables give an empty result.
+    least_words: items of fewer words are left out; by default none that has a word. Null and empty texts overlap with
+    nothing. Of equally good windows of a pair one row stands for all. Long texts are read in blocks; tasks hold the text,
+    8 bytes a word, and the hits. Repeated rows give one result an (id, item); null ids stand for themselves. Other
+    columns are not read; empty tables give an empty result.
     """
     spark = docs.sparkSession
     ids, items = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steady(batches):
+            schema = pa.schema([("item", batch.schema.field(0).type), ("size", pa.int64()), ("words", pa.binary()), ("places", longs), ("hashes", longs)])
             for part in cells(batch, "text"):
-                words, at = word_hashes(*raw(part.column(1)), ALPHANUMERIC)
-                for k in range(part.num_rows):
-                    own = words[at[k] : at[k + 1]]
-                    if len(own) < LEAST:
+                found, rows = words_of(*raw(part.column(1)), ALPHANUMERIC, whole=True), []
+                for k, (first, last) in enumerate(zip(found.at.tolist(), found.at[1:].tolist(), strict=False)):
+                    own = found.hashes[first:last]
+                    if len(own) < max(1, least_words):
                         continue
-                    hashes = [window_hashes(own, m) for m in _masks(len(own))]
-                    row = {"item": part.column(0)[k].as_py(), "words": own.view(np.int64), "places": np.concatenate([np.arange(len(h)) for h in hashes]), "hashes": np.concatenate(hashes).view(np.int64)}
-                    yield pa.RecordBatch.from_pylist([row], pa.schema([("item", batch.schema.field(0).type), ("words", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))]))
+                    hashes = [window_hashes(own, m) for m in ([tuple(range(len(own)))] if len(own) < SHORT else MASKS)]
+                    rows.append({"item": part.column(0)[k].as_py(), "size": len(own), "words": _text(found, first, last), "places": np.concatenate([np.arange(len(h)) for h in hashes]), "hashes": np.concatenate(hashes).view(np.int64)})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    known = materialize(first_columns(benchmark, item=item_col, text=item_text_col).mapInArrow(seeds_of, f"item {items}, words array<long>, places array<long>, hashes array<long>").withColumn("item_row", F.monotonically_increasing_id()), "items")
+    known = materialize(first_columns(benchmark, item=item_col, text=item_text_col).mapInArrow(seeds_of, f"item {items}, size long, words binary, places array<long>, hashes array<long>").withColumn("item_row", F.monotonically_increasing_id()), "items")
     seeds = known.select("item_row", F.explode(F.arrays_zip("places", "hashes")).alias("s")).select("item_row", F.col("s.places").alias("place"), F.col("s.hashes").alias("hash"))
-    places = (F.shiftrightunsigned("hash", 64 - BITS), F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1)))
-    fields = [bit_field(seeds, place, 1 << BITS) for place in places]
-    lengths = sorted({r[0] for r in known.select(F.size("words")).where(F.size("words") < SHORT).distinct().collect()})  # at most SHORT - LEAST
-    masks = _masks() + [tuple(range(n)) for n in lengths]
+    bits = field_bits(2 * (known.agg(F.sum(F.size("hashes"))).first()[0] or 0))
+    fields = [bit_field(seeds, place, bits) for place in (F.col("hash").bitwiseAND(F.lit(bits - 1)), F.shiftright("hash", 32).bitwiseAND(F.lit(bits - 1)))]
+    lengths = sorted(r[0] for r in known.where(F.col("size") < SHORT).select("size").distinct().collect())  # under SHORT of them
+    masks = [*MASKS, *[tuple(range(n)) for n in lengths]]
     shared = spark.sparkContext.broadcast(fields)
 
     def hits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = map(unpacked, shared.value)
+        a, b = shared.value
         for batch in steady(batches):
-            schema = pa.schema([("id", batch.schema.field(0).type), ("places", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
+            schema = pa.schema([("id", batch.schema.field(0).type), ("places", longs), ("hashes", longs), ("start", pa.int64()), ("part", pa.binary())])
             for part in cells(batch, "text"):
-                words, at = word_hashes(*raw(part.column(1)), ALPHANUMERIC)
-                found: list[tuple[np.ndarray, np.ndarray]] = []
+                body, offsets = raw(part.column(1))
+                found = words_of(body, offsets, ALPHANUMERIC)
+                words, at = found.hashes, found.at
+                hits: list[tuple[np.ndarray, np.ndarray]] = []
                 for m in masks:
                     h = window_hashes(words, m)
-                    x, y = _fields(h)
-                    k = np.flatnonzero(a[x] & b[y])
+                    x, y = _fields(h, bits)
+                    k = np.flatnonzero(bit_set(a, x))
+                    k = k[bit_set(b, y[k])]
                     owner = np.searchsorted(at, k, "right") - 1
                     k = k[k + m[-1] < at[owner + 1]]
-                    found.append((k, h[k]))
-                place, hashes = np.concatenate([k for k, _ in found]), np.concatenate([h for _, h in found])
+                    hits.append((k, h[k]))
+                place, hashes = np.concatenate([k for k, _ in hits]), np.concatenate([h for _, h in hits])
+                if not len(place):
+                    continue
+                found = words_of(body, offsets, ALPHANUMERIC, whole=True)
                 order = np.argsort(place, kind="stable")
                 place, hashes = place[order], hashes[order]
                 owner = np.searchsorted(at, place, "right") - 1
-                rows = []
-                for d in np.unique(owner).tolist():
-                    lo, hi = np.searchsorted(owner, [d, d + 1])
-                    own, first, last = place[lo:hi], int(at[d]), int(at[d + 1])
-                    cut = np.flatnonzero(np.diff(own) > 2 * WINDOW) + 1
-                    runs = [(max(first, int(r[0]) - WINDOW), min(last, int(r[-1]) + 2 * WINDOW)) for r in np.split(own, cut)]
-                    rows.append({"id": part.column(0)[d].as_py(), "places": own - first, "hashes": hashes[lo:hi].view(np.int64), "starts": [x - first for x, _ in runs], "parts": [words[x:y].view(np.int64) for x, y in runs]})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    hit = first_columns(docs, id=id_col, text=text_col).mapInArrow(hits_of, f"id {ids}, places array<long>, hashes array<long>, starts array<long>, parts array<array<long>>")
-    hit = materialize(hit.withColumn("doc_row", F.monotonically_increasing_id()), "hits")
-    places = hit.select("doc_row", F.explode(F.arrays_zip("places", "hashes")).alias("s")).select("doc_row", F.col("s.places").alias("at"), F.col("s.hashes").alias("hash"))
-    aligned = places.join(seeds, "hash").select("doc_row", "item_row", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+                own, rows = place - at[owner], []
+                cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(own // SLICE) != 0)) + 1
+                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(own)], strict=True):
+                    d = int(owner[lo])
+                    first, last = int(at[d]), int(at[d + 1])
+                    x, y = max(first, int(place[lo]) - WINDOW), min(last, int(place[hi - 1]) + 2 * WINDOW)
+                    rows.append({"id": part.column(0)[d].as_py(), "places": own[lo:hi], "hashes": hashes[lo:hi].view(np.int64), "start": x - first, "part": _text(found, x, y)})
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    hit = first_columns(docs, id=id_col, text=text_col).mapInArrow(hits_of, f"id {ids}, places array<long>, hashes array<long>, start long, part binary")
+    hit = materialize(hit.withColumn("hit_row", F.monotonically_increasing_id()), "hits")
+    places = hit.select("hit_row", F.explode(F.arrays_zip("places", "hashes")).alias("s")).select("hit_row", F.col("s.places").alias("at"), F.col("s.hashes").alias("hash"))
+    many = max(SALTED, (hit.agg(F.sum(F.size("places"))).first()[0] or 0) // HOT)
+    hot = places.groupBy("hash").agg((F.floor(F.count("*") / many) + 1).cast("int").alias("salts")).where("salts > 1")  # HOT rows at most
+    hot = F.broadcast(materialize(hot, "hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    met = places.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("hit_row", "at"), salts).cast("int")).drop("salts")
+    dealt = seeds.join(hot, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    aligned = met.join(dealt, ["hash", "salt"]).select("hit_row", "item_row", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steady(batches):
             out: dict[str, list] = {"id": [], "item": [], "window": [], "matched": []}
-            for k in range(batch.num_rows):
-                item = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
-                diagonal, best = batch.column(2)[k].as_py(), None
-                for start, part in zip(batch.column(4)[k].values.to_pylist(), batch.column(5)[k], strict=True):
-                    found = best_window(part.values.to_numpy(zero_copy_only=False), start, item, diagonal)
-                    best = max(filter(None, (best, found)), default=None, key=lambda x: x[1])
-                if best:
-                    for name, value in zip(out, (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), best[0], best[1]), strict=True):
+            for ident, item, diagonal, own, start, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if best := best_window(part.split(b" "), start, own.split(b" "), diagonal):
+                    for name, value in zip(out, (ident, item, best[0], best[1]), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("id", batch.schema.field(0).type), ("item", batch.schema.field(1).type), ("window", pa.int64()), ("matched", pa.int64())]))
 
-    pairs = aligned.join(known.select("item_row", "item", "words"), "item_row").join(hit.select("doc_row", "id", "starts", "parts"), "doc_row").select("id", "item", "diagonal", "words", "starts", "parts")
+    pairs = aligned.join(known.select("item_row", "item", "words"), "item_row").join(hit.select("hit_row", "id", "start", "part"), "hit_row").select("id", "item", "diagonal", "words", "start", "part")
     verified = pairs.mapInArrow(verify, f"id {ids}, item {items}, window long, matched long")
     return verified.groupBy("id", "item").agg(F.max(F.struct("matched", "window")).alias("best")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.window").alias("window"), F.col("best.matched").alias("matched"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, that overlap with no item. A row without an id is told by its text."""
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
+    """The rows, all columns as they are, that overlap with no item; see overlaps(). A row without an id is told by its text."""
     key = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(column(text_col)).cast("string")))
-    found = overlaps(docs.select(key.alias("key"), column(text_col).alias("text")), benchmark, id_col="key", text_col="text")
+    found = overlaps(docs.select(key.alias("key"), column(text_col).alias("text")), benchmark, id_col="key", text_col="text", least_words=least_words)
     return without(docs, key, materialize(found.select("key").distinct(), "leaks"))
 
 

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import MARKS, bit_field, cells, column, discard, first_columns, fresh, mark_of, materialize, only, perhaps_in, raw, steady, unpacked, without
+from blockloom.llm.common import cells, column, discard, first_columns, fresh, materialize, only, raw, steady, told, without
 from blockloom.llm.components import components
-from blockloom.llm.words import SPACED, window_hashes, word_hashes
+from blockloom.llm.words import BLOCK, SPACED, Words, window_hashes, words_of
 
 K = 128
 #: Smallest values by which a document is listed: two similar ones share none with odds under 1e-11.
@@ -30,18 +30,33 @@ SHORT = 32
 LOOKED = 64
 #: Documents of which a larger share of the retained values is frequent are compared by prefixes of their full sets.
 DENSE = 0.45
+#: Members of a list and size band up to which one task pairs them with all others.
+SALTED = 1024
+
+
+def _short(words: np.ndarray) -> np.ndarray:
+    return (window_hashes(words, tuple(range(len(words)))) >> np.uint64(1)).view(np.int64) if len(words) else np.zeros(0, np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorts in place."""
+    values.sort()
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
 
 
 def shingle_sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct 63-bit shingle hashes of each text."""
-    words, at = word_hashes(*raw(batch.column(column)), SPACED)
-    all_ = (window_hashes(words, tuple(range(size))) >> np.uint64(1)).view(np.int64)
+    """The sorted distinct 63-bit shingle hashes of each text. A long text's work arrays are its hashes, 8 bytes a word each."""
+    found = words_of(*raw(batch.column(column)), SPACED)
+    words, at = found.hashes, found.at
+    del found
+    few = {k: _short(words[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at) < size).tolist()}
+    all_ = window_hashes(words, tuple(range(size)))
+    del words
+    all_ >>= np.uint64(1)
     for k in range(batch.num_rows):
-        a, b = int(at[k]), int(at[k + 1])
-        if b - a >= size:
-            yield np.unique(all_[a : b - size + 1])
-        else:
-            yield (window_hashes(words[a:b], tuple(range(b - a))) >> np.uint64(1)).view(np.int64) if b > a else np.zeros(0, np.int64)
+        yield few[k] if k in few else _distinct(all_[at[k] : at[k + 1] - size + 1].view(np.int64))
 
 
 @functools.lru_cache(8)
@@ -71,7 +86,46 @@ def plausible(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int, k: i
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
     """Two numbers that together with its size identify a set."""
-    return (int(s.sum(dtype=np.int64)), int(np.bitwise_xor.reduce(s * np.int64(0x5851F42D4C957F2D)))) if len(s) else (0, 0)
+    parts = [s[k : k + BLOCK] for k in range(0, len(s), BLOCK)]
+    return int(s.sum(dtype=np.int64)), int(np.bitwise_xor.reduce([np.bitwise_xor.reduce(x * np.int64(0x5851F42D4C957F2D)) for x in parts])) if parts else 0
+
+
+def _told_apart(found: Words, size: int) -> bool:
+    """Whether, among the words of these texts, equal hashes of words are of equal words and equal ones of windows of equal windows."""
+    if not found.injective():
+        return False
+    hashes = window_hashes(found.hashes, tuple(range(size))) >> np.uint64(1)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    a, b = order[same], order[same + 1]
+    return all(np.array_equal(found.hashes[a + k], found.hashes[b + k]) for k in range(size))
+
+
+def _exact_set(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*[words[k:] for k in range(min(size, len(words)))], strict=False)) if words else set()
+
+
+def confirmed(part: pa.RecordBatch, a: int, b: int, size: int, percent: int) -> list[bool]:
+    """Which rows' two texts are similar, on full sets. Hashes stand for words and shingles only where these were compared
+    themselves, byte by byte, and found to differ whenever their hashes do not tell; else the sets are of the words."""
+    both = pa.concat_arrays([part.column(a), part.column(b)])
+    found = words_of(*raw(both), SPACED, whole=True)
+    if not _told_apart(found, size):
+        texts = both.to_pylist()
+        sets = [_exact_set(t, size) for t in texts]
+        n = part.num_rows
+        return [bool(x & y) and 100 * len(x & y) >= percent * len(x | y) for x, y in zip(sets[:n], sets[n:], strict=True)]
+    words, at = found.hashes, found.at
+    all_ = (window_hashes(words, tuple(range(size))) >> np.uint64(1)).view(np.int64)
+    n, out = part.num_rows, []
+    for k in range(n):
+        (x, u), (y, v) = at[k : k + 2], at[n + k : n + k + 2]
+        if min(u - x, v - y) < size:  # a whole text is one shingle: like the same words alone
+            out.append(u - x == v - y > 0 and np.array_equal(words[x:u], words[y:v]))
+        else:
+            out.append(similar(_distinct(all_[x : u - size + 1].copy()), _distinct(all_[y : v - size + 1].copy()), percent))
+    return out
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -102,17 +156,15 @@ def cool_values(f: float, percent: int) -> int:
 
 
 def _frequent(entries: DataFrame) -> DataFrame:
-    """The values that more than SHORT of the entries have."""
-    return entries.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT).select("value")
+    """(value, members) of the values that more than SHORT of the entries have."""
+    return entries.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT)
 
 
 def _flagged(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, h, ordered): how many of a document's values (entries: *keys, value) are frequent; its values, frequent ones last.
-
-    The order is the same for all documents.
-    """
-    marked = entries.join(_frequent(entries).withColumn("often", F.lit(1)), "value", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    return marked.groupBy(*keys).agg(F.sum("often").alias("h"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("ordered"))
+    """(*keys, h, ordered): how many of a document's values (entries: *keys, value) are frequent; its values, the rarest
+    first. members is 0 for those that are not frequent. The order is the same for all documents."""
+    marked = entries.join(_frequent(entries), "value", "left").withColumn("members", F.coalesce("members", F.lit(0)))
+    return marked.groupBy(*keys).agg(F.count_if(F.col("members") > 0).alias("h"), F.array_sort(F.collect_list(F.struct("members", "value"))).alias("ordered"))
 
 
 def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
@@ -123,8 +175,9 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     1: each under its smallest values that are not frequent among the busy, more of them the more are frequent; and where
     most are frequent, both are dense, and by prefixes of their full sets, which share a value for certain:
     2: each dense one under the values of its prefix that are not frequent,
-    3: and under those that are. h counts its frequent values: two documents that share no other value of their prefixes
-    have no more than the lesser h in common. Elsewhere h is n.
+    3: and under those that are, of which a prefix has the rarest. h counts its frequent values: two documents that share
+    no other value of their prefixes have no more than the lesser h in common, so documents with too small an h for any
+    partner of a fitting size are not listed. Elsewhere h is n.
     """
     few = nodes.select(F.explode(F.slice("sketch", 1, FEW)).alias("value"), "node", "n")
     counts = few.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
@@ -133,7 +186,7 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     busy = only(nodes, F.col("node"), materialize(long_.select("node").distinct(), "long")).select("node", "n", "k1", "k2", F.slice("sketch", 1, LOOKED).alias("own"))
     busy = materialize(busy.withColumn("at", F.monotonically_increasing_id()), "busy")
     entries = busy.select("at", F.explode("own").alias("value"))
-    hot = entries.join(_frequent(entries), "value").groupBy("at").agg(F.collect_list("value").alias("hot"))
+    hot = entries.join(_frequent(entries).select("value"), "value").groupBy("at").agg(F.collect_list("value").alias("hot"))
     cool = busy.join(hot, "at", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
     cool = materialize(cool.select("node", "n", "k1", "k2", (F.size("hot") / F.size("own")).alias("f"), F.array_except("own", "hot").alias("cool")), "cool")
     steps = sorted({0.0, DENSE, *[k / 20 for k in range(1, int(DENSE * 20))]})
@@ -144,38 +197,30 @@ def _lists(nodes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     ordered = _flagged(dense.select("node", "n", "k1", F.explode("values").alias("value")), ["node", "n", "k1"])
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     third = ordered.select(F.explode(F.slice("ordered", F.lit(1), prefix.cast("int"))).alias("x"), "node", "n", "h")
-    third = materialize(third.select("x.often", "x.value", "node", "n", "h"), "prefixes")
+    third = materialize(third.select("x.members", "x.value", "node", "n", "h"), "prefixes")
+    rich = F.col("h") * (100 + percent) >= (F.col("n") + F.ceil(F.col("n") * percent / 100)) * percent
 
     of = lambda df, kind, h="n": df.select(F.lit(kind).alias("kind"), "value", "node", "n", F.col(h).alias("h"))
-    return of(members.where(F.col("members") <= SHORT), 0).unionByName(of(second, 1)).unionByName(of(third.where("often = 0"), 2)).unionByName(of(third.where("often = 1"), 3, "h"))
-
-
-def _marked(docs: DataFrame, ids: DataFrame, use: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What use makes of the rows (id, text) of docs, without most of those whose id is not among ids.
-
-    A bit field of fixed size tells these before any shuffle.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(bit_field(ids, mark_of("id"), MARKS))
+    return of(members.where(F.col("members") <= SHORT), 0).unionByName(of(second, 1)).unionByName(of(third.where("members = 0"), 2)).unionByName(of(third.where((F.col("members") > 0) & rich), 3, "h"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = unpacked(shared.value)
-        for batch in steady(batches):
-            yield from use(batch.filter(pa.array(known[batch.column(2).to_numpy(zero_copy_only=False)])).select([0, 1]))
 
-    return docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text", mark_of("id").alias("mark")).mapInArrow(run, schema)
+def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of docs, without most of those whose id is not among ids."""
+    return told(docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text"), F.col("id"), ids, "perhaps").where("perhaps").select("id", "text")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, n, k1, values) of the wanted (node, n, k1, k2), from their texts."""
 
-    def sets_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in cells(batch, "text"):
-            sets = list(shingle_sets(part, 1, size))
-            k1, k2 = zip(*map(_keys, sets), strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "k1", "k2", "values"])
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steady(batches):
+            for part in cells(batch, "text"):
+                sets = list(shingle_sets(part, 1, size))
+                k1, k2 = zip(*map(_keys, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "k1", "k2", "values"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = _marked(docs, wanted.select(F.col("node").alias("id")), sets_of, f"node {kind}, k1 long, k2 long, values array<long>")
+    found = _perhaps(docs, wanted.select(F.col("node").alias("id"))).mapInArrow(sets_of, f"node {kind}, k1 long, k2 long, values array<long>")
     return found.join(wanted, ["node", "k1", "k2"]).select("node", "n", "k1", "values")
 
 
@@ -198,28 +243,43 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     own = nodes.select("node", "n", "sketch")
-    own = own.where(perhaps_in(own, F.col("node"), pairs.select("a").union(pairs.select("b"))))
+    own = told(own, F.col("node"), pairs.select("a").union(pairs.select("b")), "perhaps").where("perhaps").drop("perhaps")
     left, right = own.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), own.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"})
     kind = nodes.schema["node"].dataType.simpleString()
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar. Only texts of ids in a pair are shuffled, but for few others."""
+    """The pairs (a, b) of ids whose full sets, compared by their words, are similar. Only texts of ids in a pair are shuffled, but for few others."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steady(batches):
             for part in cells(batch, "ta"):
-                sets = zip(shingle_sets(part, 2, size), shingle_sets(part, 3, size), strict=True)
-                yield part.filter(pa.array([similar(x, y, percent) for x, y in sets], pa.bool_())).select([0, 1])
+                yield part.filter(pa.array(confirmed(part, 2, 3, size, percent), pa.bool_())).select([0, 1])
 
     kind = docs.schema["id"].dataType.simpleString()
-    texts = materialize(_marked(docs, ids, lambda batch: iter([batch]), f"id {docs.schema['id'].dataType.simpleString()}, text string"), "texts")
+    texts = materialize(_perhaps(docs, ids), "texts")
     joined = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
 
 
+def _pairs_within(rest: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """(a, b): the pairs of list members (*key, node, n, h, part) of different components that sizes and h allow.
+
+    Members meet by the band of their size: similar ones are in the same band or in neighbouring ones. What is still long
+    is dealt over tasks by salts of SALTED members each. Conditions are part of the join: no other pair leaves it.
+    """
+    banded = rest.withColumn("band", F.floor(F.log("n") / math.log(max(100 / percent, 1.01))).cast("int"))
+    sizes = banded.groupBy(*key, "band").agg((F.floor(F.count("*") / SALTED) + 1).cast("int").alias("salts"))
+    x = banded.join(sizes, [*key, "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
+    y = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    y = y.join(sizes, [*key, "band"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    x, y = x.withColumnsRenamed({"node": "a", "n": "na", "h": "ha", "part": "pa"}), y.withColumnsRenamed({"node": "b", "n": "nb", "h": "hb", "part": "pb"})
+    enough = F.least("ha", "hb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return x.join(y, [*key, "band", "salt"]).where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb", percent) & enough).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: documents linked by a Jaccard similarity of percent / 100 or more.
 
@@ -234,6 +294,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
        members from different components that sizes and h allow is tested too, so no link between components is lost.
        All lists but those of dense documents are short.
 
+    Equal sets are told by their size and two 64-bit sums of their shingles' hashes; links between different sets are
+    confirmed on the words themselves. A long text is read in blocks: tasks hold the text and about three times 8 bytes a
+    word; confirming a pair of long texts takes about ten bytes a character of both.
+
     Null ids: no links, a null component, kept. Null texts count as empty. Rows that repeat an id share its
     component. Other columns are not read; an empty table gives an empty result.
     """
@@ -259,9 +323,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     labelled = materialize(labelled, "labelled")
     open_ = labelled.groupBy(*key).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*key)
     rest = labelled.join(open_, key).select(*key, "node", "n", "h", "part")
-    x, y = rest.withColumnsRenamed({"node": "a", "n": "na", "h": "ha", "part": "pa"}), rest.withColumnsRenamed({"node": "b", "n": "nb", "h": "hb", "part": "pb"})
-    enough = F.least("ha", "hb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    second = x.join(y, key).where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_fit("na", "nb", percent) & enough).select("a", "b").distinct()
+    second = _pairs_within(rest, key, percent).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
     discard(lists, members)
     second = materialize(_filtered(second, nodes, percent), "plausible")

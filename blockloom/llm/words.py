@@ -2,48 +2,134 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
-#: What each byte becomes; 0 separates words.
-SPACED = np.array([0 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.int16)
-ALPHANUMERIC = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.int16)
-# A byte 0 is part of words in SPACED; it gets a value of its own.
-SPACED[0] = 256
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Which bytes belong to words: all but ASCII white space, or ASCII letters, digits and the bytes of other scripts.
+SPACED = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+ALPHANUMERIC = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
+#: Bytes read at once, and words hashed at once: what is held besides the hashes does not grow with a text.
+BLOCK = 1 << 20
+#: Bytes of a word that are hashed in numpy; a longer word is digested by itself.
+WHOLE = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of splitmix64."""
+    """Finalizer of splitmix64: a bijection of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, np.uint64(base & (2**64 - 1)))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _eights(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; the last seven bytes are padding."""
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
+def _hashes(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each word's eights are mixed in one after another, so words of up to eight bytes never share a hash with their like."""
+    eights, out = _eights(padded), mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    live = np.arange(len(starts))
+    long_ = np.flatnonzero(lengths > WHOLE)
+    if len(long_):
+        live = np.flatnonzero(lengths <= WHOLE)
+        for k in long_.tolist():
+            word = padded[starts[k] : starts[k] + lengths[k]]
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    for at in range(0, WHOLE, 8):
+        if not len(live):
+            break
+        left = lengths[live] - at
+        out[live] = mix(out[live] ^ (eights[starts[live] + at] & _MASKS[np.minimum(left, 8)]))
+        live = live[left > 8]
+    return out
+
+
+def _blocks(body: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK bytes that cut no word."""
+    lo, n = 0, len(body)
+    while lo < n:
+        hi = min(n, lo + BLOCK)
+        if hi < n:
+            cut = np.flatnonzero(~inside[body[lo:hi]])
+            if len(cut):
+                hi = lo + int(cut[-1]) + 1
+            else:  # one long word
+                while hi < n and not len(cut := np.flatnonzero(~inside[body[hi : hi + BLOCK]])):
+                    hi += BLOCK
+                hi = min(n, hi + (int(cut[0]) + 1 if hi < n else 0))
+        yield lo, hi
+        lo = hi
+
+
+@dataclass
+class Words:
+    """hashes of all words, at[k]: index of text k's first word (one more at the end); on demand the words themselves."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    starts: np.ndarray | None = None
+    lengths: np.ndarray | None = None
+    padded: np.ndarray | None = None
 
+    def injective(self) -> bool:
+        """Whether words of equal hash are equal, byte by byte."""
+        order = np.argsort(self.hashes, kind="stable")
+        same = np.flatnonzero(self.hashes[order[1:]] == self.hashes[order[:-1]])
+        a, b = order[same], order[same + 1]
+        if not np.array_equal(self.lengths[a], self.lengths[b]):
+            return False
+        eights, left, x, y = _eights(self.padded), self.lengths[a], self.starts[a], self.starts[b]
+        for k in np.flatnonzero(left > WHOLE).tolist():
+            if not np.array_equal(self.padded[x[k] : x[k] + left[k]], self.padded[y[k] : y[k] + left[k]]):
+                return False
+        short = left <= WHOLE
+        left, x, y = left[short], x[short], y[short]
+        for at in range(0, WHOLE, 8):
+            if not len(left):
+                break
+            if np.any((eights[x + at] ^ eights[y + at]) & _MASKS[np.minimum(left - at, 8)]):
+                return False
+            more = left - at > 8
+            left, x, y = left[more], x[more], y[more]
+        return True
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each text's first word and one more) of texts that lie end to end.
 
-    A word's hash is its polynomial, taken from prefix sums modulo 2^64, mixed.
-    """
-    n = len(body)
-    values = table[body]
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = values != 0
-    cuts = np.zeros(n + 1, bool)
-    cuts[offsets] = True
-    begin = inside[1:-1] & (~inside[:-2] | cuts[:-1])
-    end = inside[1:-1] & (~inside[2:] | cuts[1:])
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * _powers(_P, n)[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_P_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+def words_of(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray, whole: bool = False) -> Words:
+    """The words of texts that lie end to end, A-Z lower-cased. whole: keep the words themselves too."""
+    hashes, starts_, lengths_ = [], [], []
+    at, words, text = np.zeros(len(offsets), np.int64), 0, 0
+    padded = np.zeros(len(body) + 8, np.uint8) if whole else None
+    for lo, hi in _blocks(body, inside):
+        own = np.zeros(hi - lo + 8, np.uint8)
+        np.take(LOWER, body[lo:hi], out=own[: hi - lo])
+        if whole:
+            padded[lo:hi] = own[: hi - lo]
+        on = np.zeros(hi - lo + 2, bool)
+        on[1:-1] = inside[body[lo:hi]]
+        here = np.searchsorted(offsets, [lo, hi])
+        cuts = np.zeros(hi - lo + 1, bool)
+        cuts[offsets[here[0] : here[1]] - lo] = True
+        cuts[0] = cuts[-1] = True
+        starts = np.flatnonzero(on[1:-1] & (~on[:-2] | cuts[:-1]))
+        lengths = np.flatnonzero(on[1:-1] & (~on[2:] | cuts[1:])) + 1 - starts
+        at[here[0] : here[1]] = words + np.searchsorted(starts, offsets[here[0] : here[1]] - lo)
+        words, text = words + len(starts), here[1]
+        hashes.append(_hashes(own, starts, lengths))
+        if whole:
+            starts_.append(starts + lo)
+            lengths_.append(lengths)
+    at[text:] = words
+    join = lambda parts: parts[0] if len(parts) == 1 else np.concatenate(parts)
+    if not hashes:
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), at, none, none, padded)
+    return Words(join(hashes), at, join(starts_) if whole else None, join(lengths_) if whole else None, padded)
 
 
 def window_hashes(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
@@ -52,7 +138,11 @@ def window_hashes(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for k, p in enumerate(places):
-        out = (out ^ words[p : p + n]) * np.uint64((0xD6E8FEB86659FD93 + 2 * k * 0x9E3779B9) & (2**64 - 1) | 1)
-        out ^= out >> np.uint64(29)
-    return mix(out + np.uint64(len(places)))
+    for lo in range(0, n, BLOCK):
+        part = out[lo : lo + BLOCK]
+        for k, p in enumerate(places):
+            part ^= words[lo + p : lo + p + len(part)]
+            part *= np.uint64((0xD6E8FEB86659FD93 + 2 * k * 0x9E3779B9) & (2**64 - 1) | 1)
+            part ^= part >> np.uint64(29)
+        part[:] = mix(part + np.uint64(len(places)))
+    return out

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import documents, prose
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def brute(docs, items):
         d = words(t)
         for k, x in items:
             w = words(x)
-            if len(w) < D.LEAST:
+            if not w:
                 continue
             n = min(D.WINDOW, len(w))
             best = max((sum(d[s + j] == w[b + j] for j in range(n)) for b in range(len(w) - n + 1) for s in range(len(d) - n + 1)), default=0)
@@ -43,7 +44,7 @@ def found(spark, docs, items):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed):
     r = random.Random(seed)
-    items = [(k, prose(1000 * seed + k, n, 60)) for k, n in enumerate((3, 5, 6, 7, 8, 9, 12, 13, 14, 20, 40))]
+    items = [(k, prose(1000 * seed + k, n, 60)) for k, n in enumerate((1, 2, 3, 5, 6, 7, 8, 9, 12, 13, 14, 20, 40))]
     docs = []
     for i in range(60):
         body = prose(2000 * seed + i, r.randrange(60), 60).split()
@@ -80,3 +81,25 @@ def test_clean_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns and {r["__key"] for r in out.collect()} == {"x"}
     assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == sorted([(2, rows[1][1]), (2, rows[1][1]), (3, ""), (0, "clean as well"), (4, "")])
     assert D.clean(docs.limit(0), items).count() == 0 and D.clean(docs, items.limit(0)).count() == len(rows)
+
+
+def test_words_are_compared_themselves(spark, monkeypatch):
+    """Even if all hashes are equal, only equal words match."""
+    from blockloom.llm import words as W
+
+    x, y = ("".join("ab"[(bin(k).count("1") + f) % 2] for k in range(1024)) for f in (0, 1))
+    items = [(1, f"one {x} two three four five six seven eight nine ten eleven twelve")]
+    docs = [(1, items[0][1]), (2, f"a {y} b c"), (3, items[0][1].replace(x, y))]
+    assert found(spark, docs, items) == {(1, 1): (13, 13), (3, 1): (13, 12)}
+    assert D.best_window([b"a", b"b"], 0, [b"a", b"c"], 0) is None
+    h = W.words_of(np.frombuffer(f"{x} {y}".encode(), np.uint8), np.array([0, 2049]), W.ALPHANUMERIC).hashes
+    assert h[0] != h[1]
+
+
+def test_hot_seeds_and_repeated_passages(spark, monkeypatch):
+    monkeypatch.setattr(D, "SALTED", 3)
+    monkeypatch.setattr(D, "HOT", 10**9)
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = [(k, f"{passage} {prose(k, 4)}") for k in range(5)]
+    docs = [(k, f"{prose(50 + k, 20)} {passage} {prose(90 + k, 4)}") for k in range(12)] + [(99, f"{passage} w1 w2 w3 w4 " * 120)]
+    assert found(spark, docs, items) == brute(docs, items)

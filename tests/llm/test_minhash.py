@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, edited, prose
 
-from blockloom.llm import minhash
+from blockloom.llm import common, minhash, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -92,3 +94,39 @@ def test_deduplicated_keeps_one_of_each_group_and_all_columns(spark):
     out = minhash.deduplicated(docs)
     assert out.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 2), (False, 7), (False, 8), (False, 9), (True, 0)]
     assert {r["__same"] for r in out.collect()} == {"x"} and minhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_words_that_collide_under_polynomial_hashes(n):
+    x, y = thue_morse(n), thue_morse(n, True)
+    rows = pa.RecordBatch.from_pydict({"a": [f"one {x} two three four", f"one {x} two three four"], "b": [f"one {y} two three four", f"one {x} two three four"]})
+    assert minhash.confirmed(rows, 0, 1, 4, 80) == [False, True]
+    a, b = minhash.shingle_sets(pa.RecordBatch.from_pydict({"t": [x, y]}), 0, 4)
+    assert a.tolist() != b.tolist()
+
+
+def test_confirmation_compares_words_where_hashes_collide(monkeypatch):
+    r = random.Random(1)
+    texts = [prose(k, r.choice([2, 3, 30, 200]), 40) for k in range(30)]
+    pairs = [(a, r.choice([a, edited(a, 3, 30), r.choice(texts)])) for a in texts] + [("", ""), ("a b", "a b"), ("a b", "a c")]
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
+    want = [bool(x and y) and 100 * len(x & y) >= 80 * len(x | y) for x, y in ((shingles(a, 4), shingles(b, 4)) for a, b in pairs)]
+    assert minhash.confirmed(batch, 0, 1, 4, 80) == want
+    monkeypatch.setattr(words, "_hashes", lambda padded, starts, lengths: np.zeros(len(starts), np.uint64))
+    assert minhash.confirmed(batch, 0, 1, 4, 80) == want
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_blocks_of_a_long_text_cut_no_word(monkeypatch, block):
+    r = random.Random(block)
+    texts = ["".join(r.choice("aB \t\né") for _ in range(r.randrange(400))) for _ in range(20)] + ["x" * 500, "", " " * 100]
+    raw = lambda: common.raw(pa.array(texts))
+    whole = words.words_of(*raw(), words.SPACED, whole=True)
+    monkeypatch.setattr(words, "BLOCK", block)
+    cut = words.words_of(*raw(), words.SPACED, whole=True)
+    assert np.array_equal(whole.hashes, cut.hashes) and np.array_equal(whole.at, cut.at) and np.array_equal(whole.starts, cut.starts)
+    assert np.diff(whole.at).tolist() == [len(WORD.findall(t)) for t in texts]
