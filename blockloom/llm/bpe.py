@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -15,11 +14,12 @@ NONE = np.int32(2**31 - 1)
 #: Texts over this many characters are pre-tokenized in pieces, cut where a pre-token surely ends.
 PIECE = 1 << 18
 #: Code points that the regex library, with its newer Unicode version, takes for letters or numbers; the tokenizers library doesn't.
-_NEWER = re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b or a, 16))}" for a, _, b in (r.partition("-") for r in (
+NEWER = ("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b or a, 16))}" for a, _, b in (r.partition("-") for r in (
     "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee "
     "11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 "
     "18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 "
     "1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f").split())) + "]")
+_NEWER = re.compile(NEWER)
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
 
 
@@ -197,14 +197,20 @@ class Merges:
             return [text[m.start() : m.end()] for m in self.pattern.finditer(_NEWER.sub("\u00bf", text))]
         return self.pattern.findall(text)
 
-    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
+    def split(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is an added token, text) in order: added tokens are found first, as the tokenizers library does by default."""
-        for k, part in enumerate(self.added_split.split(text) if self.added_split else [text]):
-            if k % 2:
-                yield True, part
-            elif len(part) <= PIECE:
-                if part:
-                    yield False, part
+        if not any(map(text.__contains__, self.added)):
+            yield from [(False, text)] * bool(text)
+            return
+        for k, part in enumerate(self.added_split.split(text)):
+            if part:
+                yield bool(k % 2), part
+
+    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
+        """The same, long stretches in pieces cut where a pre-token surely ends."""
+        for added, part in self.split(text):
+            if added or len(part) <= PIECE:
+                yield added, part
             else:
                 start = 0
                 while start < len(part):
@@ -214,11 +220,6 @@ class Merges:
                     start = stop
 
 
-@functools.lru_cache(4)
-def merges(vocab: str) -> Merges:
-    return Merges(resolve(vocab))
-
-
 def grouped(texts: Iterable[str | None], budget: int) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) in groups of about budget characters."""
     start, held, group = 0, 0, []

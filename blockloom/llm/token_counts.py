@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blockloom.llm.bpe import grouped, merges
-from blockloom.llm.common import WORK_BYTES, first_columns, steady
+from blockloom.llm.bpe import Merges, grouped, resolve
+from blockloom.llm.common import WORK_BYTES, first_columns, resident, steady
 
 #: Pre-tokens whose counts a worker remembers; beyond, it starts anew. Bounds memory, never a result.
 REMEMBERED = 100_000
@@ -23,7 +23,7 @@ class Counter:
     """Counts the tokens of texts for one vocabulary."""
 
     def __init__(self, vocab: str) -> None:
-        self.merges, self.known = merges(vocab), {}
+        self.merges, self.known = Merges(resolve(vocab)), {}
         self.held: list[tuple[int, list[str]]] = []
 
     def learn(self, words: set[str]) -> None:
@@ -66,20 +66,19 @@ class Counter:
                 totals[k] += sum(known[w] if w in known else len(self.merges.windows([w.encode()])[0]) for w in words)
 
 
-_counters: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, *, vocab: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of each row, in one pass without a shuffle.
 
-    vocab: path of a byte-level BPE file, or the name of an installed public one. Added tokens inside a text count once,
+    Pre-tokens of over LONG bytes are merged window by window, so a round never runs over all of a very long one; tokens
+    that a window's end could change are merged again in the next, and the ids are the same. Of a long text, pieces cut
+    between pre-tokens are held. vocab: path of a byte-level BPE file, or the name of an installed public one. Added tokens inside a text count once,
     as the tokenizers library has it by default. Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null
     ids each give their own row; other columns are not read. An empty table gives an empty result.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.setdefault(vocab, Counter(vocab))
+        counter = resident(("counter", vocab), lambda: Counter(vocab))
         for batch in steady(batches):
             texts = batch.column(1).to_pylist()
             counted = np.fromiter((n for _, group in grouped(texts, WORK_BYTES) for n in counter.counts(group)), np.int64, len(texts))
