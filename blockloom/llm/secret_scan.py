@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm.bpe import resolve
-from blockloom.llm.common import first_columns, plain, steady
+from blockloom.llm.common import column, first_columns, resident, steady
 
+#: Characters a token under which strings of one class of characters are random. Long words are above, most random ones below.
+WORD_RATIO = 1.9
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
@@ -30,8 +33,11 @@ _KNOWN = re.compile(
 )
 
 
-@functools.lru_cache(2)
 def _encoding(vocab: str):
+    return resident(("tiktoken", vocab), lambda: _load(vocab))
+
+
+def _load(vocab: str):
     import tiktoken
 
     with open(resolve(vocab), "rb") as f:
@@ -40,7 +46,12 @@ def _encoding(vocab: str):
     return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def spans_of(text: str, vocab: str, ratio: float) -> list[tuple[int, int, int]]:
+def _of_one_class(s: str) -> bool:
+    """Letters of one case, or with a capital first, and no digits: what a word is made of."""
+    return not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) and not (s != s.lower() and s != s.upper() and s[1:] != s[1:].lower())
+
+
+def spans_of(text: str, vocab: str, ratio: float, word_ratio: float = WORD_RATIO) -> list[tuple[int, int, int]]:
     """(start, kind, end) in code points, in order."""
     found = []
     lower = text.encode("utf-8", "surrogatepass").lower()
@@ -49,16 +60,16 @@ def spans_of(text: str, vocab: str, ratio: float) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = sorted(found)
+    base, reach = sorted(found), []
+    for _, _, b in base:
+        reach.append(max(b - 1, reach[-1] if reach else 0))
+    encoding = functools.partial(_encoding, vocab)
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) and not (s != s.lower() and s != s.upper() and s[1:] != s[1:].lower()):
-            continue  # of one class of characters: a word
-        if _KNOWN.fullmatch(s) or any(a < m.end() and m.start() < b for a, _, b in base):
+        if _KNOWN.fullmatch(s) or any(a < m.end() and m.start() < b for a, _, b in base[bisect.bisect_left(reach, m.start()) :][:1]):
             continue
-        # Pieces of one block keep the merging of very long strings linear.
-        tokens = sum(len(_encoding(vocab).encode_ordinary(s[k : k + 4096])) for k in range(0, len(s), 4096))
-        if len(s) < ratio * tokens:
+        plain = _of_one_class(s)
+        if len(s) < (word_ratio if plain else ratio) * len(encoding().encode_ordinary(s.lower() if plain else s)):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
@@ -71,8 +82,9 @@ def scan(docs: DataFrame, *, vocab: str = "byte_bpe_multi_50k.tiktoken", ratio:
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of each row, in one pass without a shuffle.
 
     Fixed patterns: assignments to password-like names, access keys, long hexadecimal strings. Added as `random`: strings
-    of 20 or more letters, digits and +/_=- with mixed classes and under `ratio` characters a token, unless they are
-    known digests, UUIDs or names of several words, or overlap a fixed pattern's span. Spans are in code points, end
+    of 20 or more letters, digits and +/_=- under `ratio` characters a token, or under WORD_RATIO if they are letters of
+    one case (tokenized in lower case), unless they are known digests, UUIDs or names of several words, or overlap a fixed pattern's span. A string
+    is always tokenized whole. Memory is about twice a text. Spans are in code points, end
     exclusive, by start and then kind. Null and empty texts have none. Repeated rows and null ids give their own rows,
     other columns are not read, an empty table gives an empty result.
     """
@@ -101,26 +113,24 @@ def redact(docs: DataFrame, *, vocab: str = "byte_bpe_multi_50k.tiktoken", ratio
 
     count_col, where it exists, gets the new text's length. Null texts and texts without secrets stay as they are.
     """
-    names, schema = docs.columns, docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steady(batches):
-            at, texts, columns = names.index(text_col), [], list(batch.columns)
-            for cell in batch.column(at):
-                text = cell.as_py()
-                if text:
-                    parts, done = [], 0
-                    for a, k, b in spans_of(text, vocab, ratio):
-                        if a >= done:
-                            parts += [text[done:a], f"[{KINDS[k]}]"]
-                        done = max(done, b)
-                    text = "".join(parts) + text[done:] if parts else text
-                texts.append(text)
-            columns[at] = pa.array(texts, columns[at].type)
-            if count_col in names:
-                j = names.index(count_col)
-                changed = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns[j] = pc.if_else(pc.is_null(columns[at]), columns[j], changed.cast(columns[j].type))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return plain(docs).mapInArrow(run, schema)
+    at, n = column(text_col), column(count_col) if count_col in docs.columns else None
+
+    @F.arrow_udf(T.StringType())
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([_redacted(t.as_py(), vocab, ratio) for t in texts], pa.string())
+
+    changed = clean(at)
+    out = docs.withColumns({text_col: changed})
+    if n is None:
+        return out
+    length = F.coalesce(F.char_length(at).cast(docs.schema[count_col].dataType), n)
+    return out.withColumn(count_col, length)
+
+
+def _redacted(text: str | None, vocab: str, ratio: float) -> str | None:
+    parts, done = [], 0
+    for a, k, b in spans_of(text or "", vocab, ratio):
+        if a >= done:
+            parts += [text[done:a], f"[{KINDS[k]}]"]
+        done = max(done, b)
+    return "".join(parts) + text[done:] if parts else text

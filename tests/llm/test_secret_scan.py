@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from helpers import documents
 
@@ -50,6 +52,31 @@ def test_random_strings_are_found_and_known_forms_are_not(spark):
     assert random_spans(spark, [f"é see {KEY} here", KEY * 400]) == [[(6, 6 + len(KEY))], [(0, 400 * len(KEY))]]
 
 
+def test_recall_on_planted_strings():
+    """Random strings of several alphabets, of mixed and of one class, and words that are none."""
+    r = random.Random(9)
+    share = {}
+    for name, alphabet, n in (("base62", string.ascii_letters + string.digits, 28), ("base64", string.ascii_letters + string.digits + "+/", 40), ("lower", string.ascii_lowercase, 32), ("upper", string.ascii_uppercase, 32)):
+        texts = [f"see {''.join(r.choice(alphabet) for _ in range(n))} here" for _ in range(200)]
+        share[name] = sum(any(k == 3 for _, k, _ in spans(t)) for t in texts) / 200
+    assert min(share["base62"], share["base64"]) >= 0.98 and share["lower"] >= 0.9 and share["upper"] >= 0.9, share
+    words = "donaudampfschifffahrtsgesellschaft rechtsschutzversicherungsgesellschaften antidisestablishmentarianism anticonstitutionnellement otorrinolaringologico internationalization electroencephalographically"
+    assert spans(words) == [] and spans(words.upper().replace(" ", "\n")) == []
+
+
+def test_a_long_string_is_tokenized_whole():
+    unit = "qZ7"
+    for n in (3000, 4095, 4096, 4097, 12_001):
+        s = (unit * n)[:n]
+        tokens = len(secret_scan._encoding("byte_bpe_multi_50k.tiktoken").encode_ordinary(s))
+        for ratio in (n / tokens, n / tokens + 1e-6):
+            assert bool(secret_scan.spans_of(s, "byte_bpe_multi_50k.tiktoken", ratio)) == (n < ratio * tokens)
+
+
+def spans(text):
+    return secret_scan.spans_of(text, "byte_bpe_multi_50k.tiktoken", 2.2)
+
+
 def test_redaction(spark):
     docs = documents(spark, [*enumerate(TEXTS), (None, TEXTS[3])])
     out = secret_scan.redact(docs)
