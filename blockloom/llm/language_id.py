@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockloom.llm.common import WORK_BYTES, first_columns, plain, steady
+from blockloom.llm.common import WORK_BYTES, column, first_columns, steady
 
 BUCKETS = 1 << 13
 #: Documents whose dense count matrix is held at once.
@@ -28,6 +29,9 @@ OVERLAP = 3.0
 FEW = 4
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
+_SPACE = re.compile(r"\s")
+#: Languages that are learned at most; labels beyond are taken for dirt and raise.
+LANGUAGES = 1_000
 _LETTER = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
@@ -35,21 +39,61 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or (not text.isascii() and any(map(str.isalpha, text))))
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts of about WORK_BYTES characters, cut before white space where there is some."""
+    start = 0
+    while len(text) - start > WORK_BYTES:
+        cut = _SPACE.search(text, start + WORK_BYTES, start + 2 * WORK_BYTES)
+        stop = cut.start() if cut else start + WORK_BYTES
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 def gram_counts(texts: list[str]) -> np.ndarray:
-    """Counts of hashed 3-byte n-grams of each text (rows), of lower-cased letters with one blank for anything between."""
+    """Counts of hashed 3-byte n-grams of each text (rows), of lower-cased letters with one blank for anything between.
+
+    A long text is read in parts; each begins with the last two bytes of what was made of the part before.
+    """
+    out = np.zeros((len(texts), BUCKETS), np.int64)
+    short = [k for k, t in enumerate(texts) if len(t) <= WORK_BYTES]
+    if short:
+        out[short] = _counts([texts[k] for k in short])
+    for k in set(range(len(texts))) - set(short):
+        before = b" "
+        for part in _parts(texts[k]):
+            counts, before = _counted(before + part.lower().encode("utf-8", "surrogatepass"))
+            out[k] += counts
+        out[k] += _counted(before + b" ")[0]
+    return out
+
+
+def _counted(part: bytes) -> tuple[np.ndarray, bytes]:
+    """(counts of one text's part, the last two bytes of what was made of it)."""
+    body = _LETTER[np.frombuffer(part, np.uint8)]
+    keep = np.ones(len(body), bool)
+    keep[1:] = (body[1:] != 32) | (body[:-1] != 32)
+    body = body[keep]
+    return np.bincount(_buckets(body.astype(np.uint32)), minlength=BUCKETS), body[-2:].tobytes()
+
+
+def _buckets(body: np.ndarray) -> np.ndarray:
+    code = ((body[:-2] << 16) | (body[1:-1] << 8) | body[2:]) * np.uint32(2654435761)
+    return (code >> np.uint32(32 - 13)).astype(np.int64)
+
+
+def _counts(texts: list[str]) -> np.ndarray:
     parts = [b" " + t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     body = _LETTER[np.frombuffer(b"".join(parts), np.uint8)]
-    owner = np.repeat(np.arange(len(parts), dtype=np.int64), sizes)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     keep = np.ones(len(body), bool)
     keep[1:] = (body[1:] != 32) | (body[:-1] != 32) | (owner[1:] != owner[:-1])
     body, owner = body[keep].astype(np.uint32), owner[keep]
     if len(body) < 3:
         return np.zeros((len(texts), BUCKETS), np.int64)
     whole = owner[2:] == owner[:-2]
-    code = ((body[:-2] << 16) | (body[1:-1] << 8) | body[2:]) * np.uint32(2654435761)
-    bucket = (code >> np.uint32(32 - 13)).astype(np.int64)
-    return np.bincount((owner[:-2] * BUCKETS + bucket)[whole], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+    return np.bincount((owner[:-2].astype(np.int64) * BUCKETS + _buckets(body))[whole], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
 
 
 @dataclass(frozen=True)
@@ -132,7 +176,8 @@ def fit(docs: DataFrame, *, sample: int = 20_000, seed: int = 0, id_col: str = "
     """The n-gram model of the languages in a bounded sample of the labelled rows outside the held-out fold.
 
     sample: about so many rows are learned from, those of the smallest hashes; a table that has fewer gives all. The
-    driver gets BUCKETS counts a language. Rows without a text, an id or a label teach nothing.
+    driver gets BUCKETS counts a language, of LANGUAGES at most: more labels than that in the sample raise, as they can't
+    be languages. Rows without a text, an id or a label teach nothing; repeated rows count again.
     """
     rows = first_columns(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     n = rows.select("lang").count()
@@ -144,13 +189,16 @@ def fit(docs: DataFrame, *, sample: int = 20_000, seed: int = 0, id_col: str = "
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for group in groups(own):
+                for group in groups([len(t) for t in own]):
                     seen[lang] = seen.get(lang, 0) + gram_counts([own[k] for k in group]).sum(0)
         for lang, counts in seen.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = rows.where(part).select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    learned = rows.where(part).select("text", "lang")
+    if (labels := learned.select("lang").distinct().limit(LANGUAGES + 1).count()) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} labels in the sample ({labels}); clean the column first")
+    counted = learned.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counted.lang.unique()))
     table = np.zeros((BUCKETS, len(languages)))
     for k, lang in enumerate(languages):
@@ -159,12 +207,12 @@ def fit(docs: DataFrame, *, sample: int = 20_000, seed: int = 0, id_col: str = "
     return Model(languages, (table + 0.5) / (table.sum(0) + 0.5 * BUCKETS))
 
 
-def groups(texts: list[str]) -> Iterator[list[int]]:
-    """Indexes in groups of at most GROUP texts and about WORK_BYTES characters."""
+def groups(sizes: list[int]) -> Iterator[list[int]]:
+    """Indexes of texts in groups of at most GROUP texts and about WORK_BYTES characters."""
     group, held = [], 0
-    for k, t in enumerate(texts):
+    for k, size in enumerate(sizes):
         group.append(k)
-        held += len(t)
+        held += size
         if len(group) == GROUP or held >= WORK_BYTES:
             yield group
             group, held = [], 0
@@ -176,7 +224,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """(id, *keep, lang_pred, score) of each row, in one pass without a shuffle.
 
     lang_pred is the language with the greatest share of the chosen set, score its share; in a text of one language,
-    how likely it is among all. Null texts and texts without a letter give `und` and 0, as does an empty model. Repeated
+    how likely it is among all. Of equal shares, the language that comes first by name is taken. Sets of every size up to
+    all languages are weighed. A long text is read in parts; a task holds it and a table of BUCKETS counts. Null texts and texts without a letter give `und` and 0, as does an empty model. Repeated
     rows and null ids give their own rows, other columns are not read, an empty table gives an empty result.
     """
     fields = [(c, docs.schema[c].dataType) for c in (id_col, *keep)] + [("lang_pred", T.StringType()), ("score", T.DoubleType())]
@@ -190,7 +239,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             out = [(UNDETERMINED, 0.0)] * len(texts)
             rows = [k for k, t in enumerate(texts) if has_letter(t)]
             own = [texts[k] for k in rows]
-            for group in groups(own):
+            for group in groups([len(t) for t in own]):
                 for k, found in zip(group, known.predict([own[k] for k in group]), strict=True):
                     out[rows[k]] = found
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=schema.names)
@@ -206,18 +255,16 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     little and are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in steady(batches):
-            texts = batch.column(at).to_pylist()
-            keep = np.zeros(len(texts), bool)
-            rows = [k for k, t in enumerate(texts) if has_letter(t)]
-            own = [texts[k] for k in rows]
-            for group in groups(own):
-                for k, (lang, _, gain, kinds) in zip(group, known.explain([own[k] for k in group]), strict=True):
-                    keep[rows[k]] = lang != UNDETERMINED and (gain > 0 or kinds < FEW)
-            yield batch.filter(pa.array(keep)).rename_columns(names)
 
-    return plain(docs).mapInArrow(run, docs.schema)
+    @F.arrow_udf(T.BooleanType())
+    def explained(texts: pa.Array) -> pa.Array:
+        known, keep = shared.value, np.zeros(len(texts), bool)
+        rows = [k for k, t in enumerate(texts) if has_letter(t.as_py())]
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for group in groups(sizes[rows].tolist()):
+            own = [texts[rows[k]].as_py() for k in group]
+            for k, (lang, _, gain, kinds) in zip(group, known.explain(own), strict=True):
+                keep[rows[k]] = lang != UNDETERMINED and (gain > 0 or kinds < FEW)
+        return pa.array(keep)
+
+    return docs.where(explained(column(text_col)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe_stream, chat, decontaminate, language_id, license_scan, minhash, secret_scan, sharding, token_counts, vector_dedup
-from blockloom.llm.common import table
+from blockloom.llm.common import small_batches, table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +47,24 @@ def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query is an application: it sets how much its executors' Python functions get at once."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
@@ -65,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
 }
+QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
 
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": minhash.oracle(4, 80),

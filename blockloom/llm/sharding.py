@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import first_columns
 
 RING = 1 << 32
+#: Copies of one row that a task expands at once.
+COPIES = 1 << 16
 
 
 class Ring:
@@ -55,7 +57,16 @@ def capacities(n: int, n_shards: int, slack: float) -> list[int]:
     return [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
 
 
-def shard(docs: DataFrame, *, n_shards: int = 40, vnodes: int = 64, slack: float = 0.0, bands: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _expanded(ranked: DataFrame) -> DataFrame:
+    """One row for each of a row's copies, with its rank. Rows of very many copies are dealt out in stretches of COPIES first."""
+    stretches = ranked.where(F.col("copies") > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("stretch"))
+    dealt = stretches.repartition("id", "size", "text_crc32", "stretch")
+    part = dealt.withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("stretch") * COPIES)).withColumn("first", F.col("first") + F.col("stretch") * COPIES).drop("stretch")
+    every = ranked.where(F.col("copies") <= COPIES).unionByName(part)
+    return every.select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("rank"))
+
+
+def shard(docs: DataFrame, *, n_shards: int = 40, vnodes: int = 64, slack: float = 0.0, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row; counts of shards are at most one apart at slack 0.
 
     A key is hashed to a place on the ring and belongs to the next virtual node clockwise; a full shard's surplus goes on
@@ -89,9 +100,8 @@ def shard(docs: DataFrame, *, n_shards: int = 40, vnodes: int = 64, slack: float
     table = spark.createDataFrame(pd.DataFrame(flows, columns=["arc", "band", "lo", "hi", "shard", "base"]), "arc int, band int, lo long, hi long, shard int, base long")
     in_arc = Window.partitionBy("arc", "band").orderBy("order", "id", "size", "text_crc32")
     ranked = placed.withColumn("first", F.sum("copies").over(in_arc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies"))
-    last = F.col("first") + F.col("copies") - 1
     return (
-        ranked.select("*", F.explode(F.sequence(F.col("first"), last)).alias("rank"))
+        _expanded(ranked)
         .join(F.broadcast(table), ["arc", "band"])
         .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         .select(
