@@ -38,7 +38,29 @@ class Policy:
         return bool(self.min_task_us) and n * self.estimated_item_ns * 1e-3 < self.min_task_us * participants
 
 
+@dataclass(frozen=True)
+class ChainPolicy:
+    """How a chain runs.
+
+    Slots own the same contiguous rows in every stage, unless balance is dynamic, same_chunk is off and every stage ends at
+    a barrier of all slots: then a stage's slots are blocks of `chunk` rows (0: half a participant's share), dealt out anew
+    before each stage. priority and cancellation_checks as in Policy.
+    """
+
+    balance: str = "static"
+    same_chunk: bool = True
+    priority: str = "throughput"
+    chunk: int = 0
+    cancellation_checks: bool = True
+
+    def __post_init__(self) -> None:
+        if self.balance not in ("static", "dynamic") or self.priority not in PRIORITIES or self.chunk < 0:
+            raise ValueError(f"no such policy: {self}")
+
+
 DEFAULT = Policy()
+CHAIN = ChainPolicy()
+DYNAMIC_CHAIN = ChainPolicy(balance="dynamic", same_chunk=False)
 STATIC = Policy(balance="static")
 DYNAMIC = Policy(balance="dynamic")
 LATENCY = Policy(priority="latency")

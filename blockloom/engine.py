@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import functools
 import math
+import pickle
+import re
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,24 +15,49 @@ from contextlib import contextmanager, nullcontext
 from typing import Any
 
 import pyarrow as pa
-from pyspark import InheritableThread
+from pyspark import InheritableThread, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.control import DEFAULT, CancellationToken, Cancelled, Policy, PriorityGate
+from blockloom.control import CHAIN, DEFAULT, CancellationToken, Cancelled, ChainPolicy, Deadline, Policy, PriorityGate
 from blockloom.operators import bulk, reduce, scan
 from blockloom.operators.blocks import block_of, chunk_size, reduce_chunk, with_index
 from blockloom.plans import chain
+from blockloom.storage import materialize
 
 _NEVER = CancellationToken()
+#: Rows that one call of a map's function gets at most, unless the policy names a chunk.
+CALL_ROWS = 1 << 20
+_RAISED = re.compile(r"<blockloom-error ([A-Za-z0-9+/=]+)>")
+
+
+def _carried(body: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """body, whose errors carry themselves in their message, as Spark passes on text alone."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        try:
+            return body(rows)
+        except Exception as e:
+            raise RuntimeError(f"{type(e).__name__}: {e} <blockloom-error {base64.b64encode(cloudpickle.dumps(e)).decode()}>") from e
+
+    return run
+
+
+def _cause(error: BaseException) -> BaseException:
+    """The error that a map's function raised, or Spark's where there is none."""
+    found = _RAISED.search(str(error))
+    return pickle.loads(base64.b64decode(found[1])) if found else error
 
 
 class Engine:
     """Runs ordered operators on frames that have a dense 0-based idx (with_index makes one).
 
-    participants: slots of chains and the measure of map blocks; by default Spark's parallelism. Actions of one engine go
-    through its gate one at a time, by priority. The first error of a call is raised as Spark reports it; the rest of
-    that call is dropped. Closing waits for detached work. Copies of an engine share nothing.
+    participants: slots of chains and the measure of map blocks; by default Spark's parallelism. What the engine runs goes
+    through its gate one call at a time, by priority, in a job group of its own. A frame is lazy, for the caller to run,
+    unless it is asked for with a token that can stop or by an asynchronous call: then its rows are computed before the
+    call ends, written to the shared folder, and the token cancels the running job. The first error of such a call is
+    raised, that of a map's function as itself; the rest of the call is dropped. Closing waits for detached work. Copies
+    of an engine share nothing.
     """
 
     def __init__(self, spark: SparkSession, participants: int | None = None, shard: str | None = None) -> None:
@@ -95,28 +124,55 @@ class Engine:
     def index(self, df: DataFrame, *keys: Column | str, name: str = "idx") -> DataFrame:
         return with_index(df, *keys, name=name)
 
-    # Each operator below is lazy where it returns a frame; reduce() is an action and returns a value.
-
-    def map_blocks(self, indexed: DataFrame, n: int, body: Callable[[pa.Table], pa.Table] | Column | list[Column], schema: str | None = None, *, policy: Policy = DEFAULT, token: CancellationToken = _NEVER) -> DataFrame:
-        """body of each block of rows, every row once. Column expressions stay one narrow stage; a function gets whole blocks.
-
-        A stopped token gives no rows. An empty frame gives none either.
-        """
-        if isinstance(body, (Column, list)):
-            out = indexed.select(*(body if isinstance(body, list) else [body]))
-            return out.limit(0) if self._stopped(policy, token) else out
+    def _run(self, plan: Callable[[], DataFrame], stopped: Callable[[], DataFrame], policy: Policy | ChainPolicy, token: CancellationToken, now: bool, name: str) -> DataFrame:
+        """plan() as it is, or if `now`, or if the token can stop, its rows computed under the gate; what stopped() gives if the token stops."""
         if self._stopped(policy, token):
-            return self.spark.createDataFrame([], schema)
-        if policy.inline(n, self.participants):
-            self._count("inline_fallbacks")
-            indexed = indexed.coalesce(1)
+            return stopped()
+        if not now and not (token.can_stop and policy.cancellation_checks):
+            return plan()
+        with self._admitted(policy, token):
+            if self._stopped(policy, token):
+                return stopped()
+            try:
+                return materialize(plan(), name)
+            except Exception as e:
+                if policy.cancellation_checks and token.stop_requested:
+                    self._count("cancellation_stops")
+                    return stopped()
+                if (cause := _cause(e)) is not e:
+                    raise cause from e
+                raise
+
+    def map_blocks(self, indexed: DataFrame, n: int, body: Callable[[pa.Table], pa.Table] | Column | list[Column], schema: str | None = None, *, policy: Policy = DEFAULT, token: CancellationToken = _NEVER, now: bool = False, waves: int = 8) -> DataFrame:
+        """body of each block of rows, every row once. Column expressions stay one narrow stage; a function gets whole blocks, of CALL_ROWS rows at most.
+
+        With a token that can stop, blocks run in waves; if it stops, the rows of completed waves are what there is. An
+        empty frame gives none.
+        """
         size = chunk_size(n, self.participants, policy.chunk, policy.balance)
-        blocks = indexed.withColumn("__block", block_of(F.col("idx"), size))
-
-        def run(rows: pa.Table) -> pa.Table:
-            return body(rows.sort_by("idx").drop_columns(["__block"]))
+        size = size if policy.chunk else min(size, CALL_ROWS)
+        inline = not isinstance(body, (Column, list)) and policy.inline(n, self.participants)
+        if inline:
+            self._count("inline_fallbacks")
 
-        return blocks.groupBy("__block").applyInArrow(run, schema)
+        def mapped(rows: DataFrame) -> DataFrame:
+            if isinstance(body, (Column, list)):
+                return rows.select(*(body if isinstance(body, list) else [body]))
+            call = _carried(body)
+            blocks = (rows.coalesce(1) if inline else rows).withColumn("__block", block_of(F.col("idx"), size))
+            return blocks.groupBy("__block").applyInArrow(lambda t: call(t.sort_by("idx").drop_columns(["__block"])), schema)
+
+        none = lambda: mapped(indexed.limit(0))
+        if not (token.can_stop and policy.cancellation_checks):
+            return self._run(lambda: mapped(indexed), none, policy, token, now, "map")
+        step, done = -(-max(1, -(-n // size)) // waves) * size, []
+        for lo in range(0, max(n, 1), step):
+            part = indexed.where((F.col("idx") >= lo) & (F.col("idx") < lo + step))
+            out = self._run(lambda part=part: mapped(part), lambda: None, policy, token, True, "map")
+            if out is None:
+                break
+            done.append(out)
+        return functools.reduce(DataFrame.unionByName, done) if done else none()
 
     def reduce(self, indexed: DataFrame, value: Column, n: int, *, op: str = "sum", init: Any = None, policy: Policy = DEFAULT, token: CancellationToken = _NEVER, waves: int = 8) -> Any:
         """The ordered reduction as a value; see reduce_blocks. An empty frame gives init.
@@ -138,58 +194,73 @@ class Engine:
                     break
                 part = indexed.where((F.col("idx") >= lo * size) & (F.col("idx") < (lo + step) * size))
                 try:
-                    done += [(r.block, r.p) for r in reduce.block_partials(part, value, size, op).collect()]  # n_blocks / waves rows
+                    done.append(materialize(reduce.block_partials(part, value, size, op), "partials"))
                 except Exception:
                     if not token.stop_requested:
                         raise
                     break
-            own = [p for _, p in sorted(done)]
-            found = self._combined(own, op, init, policy.determinism)
-            if token.stop_requested:
+            stopped = token.stop_requested
+            found = init
+            if done:
+                # Blocks left out by the stop move together, so the tree is over the completed ones in their order.
+                partials = functools.reduce(DataFrame.unionByName, done)
+                found = reduce.combined(partials, min(n_blocks, len(done) * step), op=op, init=start, determinism=policy.determinism).first()[0]
+            if stopped:
                 self._count("cancellation_stops")
                 raise Cancelled(found)
             return found
 
-    @staticmethod
-    def _combined(partials: list, op: str, init: Any, determinism: str) -> Any:
-        """The same tree over partials in memory; those of stopped blocks are left out and the others move together."""
-        two = {"sum": lambda a, b: a + b, "min": min, "max": max}[op]
-
-        def add(a: tuple[float, float], x: float) -> tuple[float, float]:
-            y = x - a[1]
-            t = a[0] + y
-            return t, (t - a[0]) - y
-
-        kahan = determinism == "kahan"
-        level = [add((0.0, 0.0), float(p or 0.0)) if kahan else p for p in partials]
-        node = (lambda a, b: add(add(a, b[0]), -b[1])) if kahan else (lambda a, b: b if a is None else a if b is None else two(a, b))
-        while len(level) > 1:
-            level = [node(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        total = (level[0][0] if kahan else level[0]) if level else None
-        return init if total is None else total if init is None else two(init, total)
-
-    def scan(self, indexed: DataFrame, value: Column, n: int, *, op: str = "sum", exclusive: bool = False, identity: Any = None, policy: Policy = DEFAULT, token: CancellationToken = _NEVER, name: str = "scan") -> DataFrame:
-        """indexed with the running value; see scan_blocks. A token stopped before gives the identity on every row."""
+    def scan(self, indexed: DataFrame, value: Column, n: int, *, op: str = "sum", exclusive: bool = False, identity: Any = None, policy: Policy = DEFAULT, token: CancellationToken = _NEVER, now: bool = False, name: str = "scan") -> DataFrame:
+        """indexed with the running value; see scan_blocks. A stopped token gives the identity on every row."""
         start = None if identity is None else F.lit(identity)
-        if self._stopped(policy, token):
-            return indexed.withColumn(name, start if start is not None else F.lit(None))
-        return scan.scan_blocks(indexed, value, n, op=op, exclusive=exclusive, identity=start, chunk=policy.chunk, name=name)
+        plan = lambda: scan.scan_blocks(indexed, value, n, op=op, exclusive=exclusive, identity=start, chunk=policy.chunk, name=name)
+        return self._run(plan, lambda: indexed.withColumn(name, start if start is not None else F.lit(None)), policy, token, now, "scan")
 
     def inclusive_scan(self, indexed: DataFrame, value: Column, n: int, **options: Any) -> DataFrame:
         return self.scan(indexed, value, n, exclusive=False, **options)
 
-    def chain(self, indexed: DataFrame, n: int, stages: list[chain.Stage], *, token: CancellationToken = _NEVER) -> DataFrame:
-        return chain.run_chain(indexed, n, stages, participants=self.participants, token=token)
+    def chain(self, indexed: DataFrame, n: int, stages: list[chain.Stage], *, policy: ChainPolicy = CHAIN, token: CancellationToken = _NEVER, now: bool = False) -> DataFrame:
+        """See run_chain. A stopped chain ends with the rows of its last completed stage."""
+        kept: list[DataFrame] = []
+        keep = kept.append if token.can_stop and policy.cancellation_checks else None
+        plan = lambda: chain.run_chain(indexed, n, stages, participants=self.participants, policy=policy, token=token, keep=keep)
+        return self._run(plan, lambda: kept[-1] if kept else chain.run_chain(indexed, n, [], participants=self.participants, policy=policy), policy, token, now, "chain")
 
-    def phases(self, rows: DataFrame, n_phases: int, phase: Callable[[DataFrame, int, object], DataFrame], *, pre_phase: Callable[[int], object] | None = None, token: CancellationToken = _NEVER) -> DataFrame:
-        return chain.run_phases(rows, n_phases, phase, pre_phase=pre_phase, token=token)
+    def phases(self, rows: DataFrame, n_phases: int, phase: Callable[[DataFrame, int, object], DataFrame], *, pre_phase: Callable[[int], object] | None = None, policy: Policy = DEFAULT, token: CancellationToken = _NEVER, now: bool = False) -> DataFrame:
+        """See run_phases. A stopped run ends with the rows of the last phase after which they were written."""
+        kept = [rows]
+        plan = lambda: chain.run_phases(rows, n_phases, phase, pre_phase=pre_phase, token=token, keep=kept.append)
+        return self._run(plan, lambda: kept[-1], policy, token, now, "phases")
 
     def bulk(self, queries: DataFrame, n: int, body: Callable[[pa.Table], pa.Table] | Column | list[Column], schema: str | None = None, **options: Any) -> DataFrame:
         """Independent queries with a dense idx, in blocks; body keeps each result with its query."""
         return self.map_blocks(queries, n, body, schema, **options)
 
-    def bulk_nearest(self, queries: DataFrame, refs: DataFrame, **options: Any) -> DataFrame:
-        return bulk.nearest(queries, refs, **options)
+    def bulk_nearest(self, queries: DataFrame, refs: DataFrame, *, policy: Policy = DEFAULT, token: CancellationToken = _NEVER, now: bool = False, **options: Any) -> DataFrame:
+        none = lambda: self.spark.createDataFrame([], "query_id long, nearest_id long, distance2 double")
+        return self._run(lambda: bulk.nearest(queries, refs, **options), none, policy, token, now, "nearest")
+
+    def deepening(self, search: Callable[[int, CancellationToken], Any], *, limit: int, deadline: Deadline, token: CancellationToken | None = None) -> Any:
+        """What search(depth, token) gives at the last depth, from 1 to limit, that was completed before the deadline; None without any.
+
+        The deadline stops the token, and with it the engine's calls that search makes with it.
+        """
+        token, best = token or CancellationToken.owned(), None
+        timer = deadline.watch(token)
+        try:
+            for depth in range(1, limit + 1):
+                if token.stop_requested:
+                    break
+                try:
+                    found = search(depth, token)
+                except Cancelled:
+                    break
+                if not token.stop_requested:
+                    best = found
+        finally:
+            if timer:
+                timer.cancel()
+        return best
 
     def fork_join(self, *fns: Callable[[], Any], policy: Policy = DEFAULT, token: CancellationToken = _NEVER) -> list[Any]:
         """The results of independent driver functions, run side by side and joined; one runs where it is, none is no call.
@@ -216,9 +287,15 @@ class Engine:
                 except BaseException as e:  # noqa: BLE001  raised at the join
                     errors.append(e)
 
-        threads = [InheritableThread(target=work) for _ in range(min(len(fns), self.participants))]
-        for t in threads:
-            t.start()
+        sc, pool = self.spark.sparkContext, "spark.scheduler.pool"
+        outer = sc.getLocalProperty(pool)
+        sc.setLocalProperty(pool, self.shard or policy.priority)  # the threads' own jobs run in it
+        try:
+            threads = [InheritableThread(target=work) for _ in range(min(len(fns), self.participants))]
+            for t in threads:
+                t.start()
+        finally:
+            sc.setLocalProperty(pool, outer)
         for t in threads:
             t.join()
         if errors:
@@ -253,7 +330,7 @@ class Engine:
         return self._error
 
     def call_async(self, fn: Callable[..., Any], *args: Any, **options: Any) -> Future:
-        """A future of fn(*args); asynchronous calls of one engine run in the order they were made."""
+        """A future of fn(*args); asynchronous calls of one engine run in the order they were made. Those of operators end with their rows written."""
         with self._lock:
             if self._closed:
                 raise RuntimeError("the engine is closed")
@@ -264,22 +341,22 @@ class Engine:
         return self.call_async(self.reduce, *args, **options)
 
     def scan_async(self, *args: Any, **options: Any) -> Future:
-        return self.call_async(self.scan, *args, **options)
+        return self.call_async(self.scan, *args, now=True, **options)
 
     def map_blocks_async(self, *args: Any, **options: Any) -> Future:
-        return self.call_async(self.map_blocks, *args, **options)
+        return self.call_async(self.map_blocks, *args, now=True, **options)
 
     def chain_async(self, *args: Any, **options: Any) -> Future:
-        return self.call_async(self.chain, *args, **options)
+        return self.call_async(self.chain, *args, now=True, **options)
 
     def phases_async(self, *args: Any, **options: Any) -> Future:
-        return self.call_async(self.phases, *args, **options)
+        return self.call_async(self.phases, *args, now=True, **options)
 
     def bulk_async(self, *args: Any, **options: Any) -> Future:
-        return self.call_async(self.bulk, *args, **options)
+        return self.call_async(self.bulk, *args, now=True, **options)
 
     def bulk_nearest_async(self, *args: Any, **options: Any) -> Future:
-        return self.call_async(self.bulk_nearest, *args, **options)
+        return self.call_async(self.bulk_nearest, *args, now=True, **options)
 
     def fork_join_async(self, *fns: Callable[[], Any], **options: Any) -> Future:
         return self.call_async(self.fork_join, *fns, **options)

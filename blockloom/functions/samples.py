@@ -7,19 +7,18 @@ spread over tasks like any other range.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.operators.blocks import with_index
 
 KEYS = ("workload", "pool")
-#: Samples of a key up to which bootstrap() resamples them; for more, positions are drawn from their own distribution.
-RESAMPLED = 1 << 16
 _MAD_TO_SIGMA = 1.4826
 
 
@@ -93,10 +92,15 @@ def win_rates(ratios: DataFrame) -> DataFrame:
 
 
 def survival(ratios: DataFrame) -> DataFrame:
-    """(pool, ratio, position, share): each peer's ratios from the highest down; share of those before."""
-    own = Window.partitionBy("pool")
-    position = F.row_number().over(own.orderBy(F.desc("ratio"), "workload")) - 1
-    return ratios.select("pool", "workload", "ratio", position.alias("position"), F.count("*").over(own).alias("n")).select("pool", "workload", "ratio", "position", (F.col("position") / F.col("n")).alias("share"))
+    """(pool, workload, ratio, position, share): each peer's ratios from the highest down; share of those before.
+
+    Positions are places in one range-sorted order of all pools, so no task holds a pool.
+    """
+    indexed = with_index(ratios.select("pool", "workload", "ratio"), "pool", F.desc("ratio"), "workload", name="__at")
+    starts = indexed.groupBy("pool").agg(F.min("__at").alias("__start"), F.count("*").alias("n")).withColumnRenamed("pool", "__pool")
+    position = F.col("__at") - F.col("__start")
+    placed = indexed.join(starts, F.col("pool").eqNullSafe(F.col("__pool")))
+    return placed.select("pool", "workload", "ratio", position.cast("int").alias("position"), (position / F.col("n")).alias("share"))
 
 
 def geomean(value: Column) -> Column:
@@ -208,48 +212,36 @@ def si_number(value: Column, digits: int = 3) -> Column:
     return out.when(size >= 1e3, F.concat(text(1e3, digits - 1), F.lit("k"))).when(size >= 1, text(1.0, digits - 1)).otherwise(text(1.0, digits))
 
 
+def _by_key(samples: DataFrame, keys: Sequence[str], order: str | None, value: str, names: Sequence[str], use: Callable[[np.ndarray], Sequence[float]]) -> DataFrame:
+    """(*keys, *names): what use() makes of each key's values, in their order. A task holds one key's values, 8 bytes each."""
+    clean = samples.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, *([order] if order else []), F.col(value).cast("double").alias("__v"))
+    schema = T.StructType([*[clean.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ([order] if order else []) + ["__v"]]) if order else rows
+        found = use(rows.column("__v").to_numpy())
+        return pa.table([*[rows.column(k).slice(0, 1) for k in keys], *[pa.array([x], pa.float64()) for x in found]], names=schema.names)
+
+    return clean.groupBy(*keys).applyInArrow(run, schema)
+
+
 def bootstrap(samples: DataFrame, *, resamples: int = 1024, ci: float = 0.95, seed: int = 0xC1701, least: int = 12, keys: Sequence[str] = KEYS, order: str = "rep", value: str = "ns") -> DataFrame:
     """(*keys, median, lo, hi): percentile bootstrap interval of the median; NaN bounds with fewer than `least` samples.
 
-    Up to RESAMPLED samples of a key are resampled, in the order of `order`, with numpy's generator. For more, what a
-    resample does to the median is drawn directly: the ranks of its middle order statistics, which do not depend on the
-    values. Those ranks are then looked up, so no task holds a large key.
+    Samples are resampled in the order of `order` with numpy's generator, draw for draw, whatever their number: a key of n
+    samples takes resamples * n draws, of which about four million are held at once.
     """
-    clean = samples.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(*keys, order, value)
-    sizes = clean.groupBy(*keys).agg(F.count("*").alias("n"))
-    fields = [clean.schema[k] for k in keys]
-    schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in ("median", "lo", "hi")]])
     alpha = (1 - ci) / 2
 
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values([order, value], kind="stable")[value].to_numpy(float)
+    def resample(own: np.ndarray) -> list[float]:
         found = [float(np.median(own)), float("nan"), float("nan")]
         if len(own) >= least:
             rng = np.random.default_rng(seed)
             held = np.concatenate([np.median(own[rng.integers(0, len(own), size=(k, len(own)))], axis=1) for k in _parts(resamples, len(own))])
             found[1:] = float(np.quantile(held, alpha)), float(np.quantile(held, 1 - alpha))
-        return pd.DataFrame([[*rows.iloc[0][list(keys)], *found]], columns=schema.names)
-
-    same = list(keys)
-    small = clean.join(sizes.where(F.col("n") <= RESAMPLED).select(*keys), same).groupBy(*keys).applyInPandas(resample, schema)
-    small = small.select(*keys, "median", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("lo", "hi")])  # pandas' NaN arrives as null
-    large = sizes.where(F.col("n") > RESAMPLED)
-    if large.isEmpty():
-        return small
-
-    @F.pandas_udf("array<long>")
-    def bounds(n: pd.Series) -> pd.Series:
-        def draw(n: int) -> list[int]:
-            rng = np.random.default_rng(seed)
-            u = np.sort(rng.beta((n + 1) // 2, n - (n + 1) // 2 + 1, resamples))
-            return [int(x * n) for x in np.quantile(u, [alpha, 1 - alpha])]
-
-        return n.map(draw)
+        return found
 
-    wanted = large.select(*[F.col(k).alias(f"__{k}") for k in keys], bounds("n").alias("at"))
-    joined = ranked(clean, keys, value).join(wanted, functools.reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys]))
-    middle = F.avg(F.when((F.col("rank") == F.floor((F.col("n") - 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2)), F.col(value)))
-    return small.unionByName(joined.groupBy(*keys).agg(middle.alias("median"), _at(F.get("at", F.lit(0)), value, "lo"), _at(F.get("at", F.lit(1)), value, "hi")))
+    return _by_key(samples, keys, order, value, ("median", "lo", "hi"), resample)
 
 
 def _parts(resamples: int, n: int) -> list[int]:
@@ -258,24 +250,60 @@ def _parts(resamples: int, n: int) -> list[int]:
     return [min(step, resamples - k) for k in range(0, resamples, step)]
 
 
-def bootstrap_half_width(samples: DataFrame, *, resamples: int = 1024, seed: int = 0xC1709F22AB, keys: Sequence[str] = KEYS, value: str = "ns") -> DataFrame:
-    """(*keys, ci_pct): half the width of the 95 percent interval as a percentage of the upper median; 0 under 30 samples.
-
-    Ranks of resampled medians are drawn for each key's size alone and looked up in the sorted values.
+class MersenneTwister64:
+    """The 64-bit generator of the C++ standard, in numpy: what does not depend on each other is computed at once."""
+
+    N, M = 312, 156
+
+    def __init__(self, seed: int) -> None:
+        state = [seed & 2**64 - 1]
+        for i in range(1, self.N):
+            state.append((6364136223846793005 * (state[-1] ^ state[-1] >> 62) + i) & 2**64 - 1)
+        self.state, self.left = np.array(state, np.uint64), np.zeros(0, np.uint64)
+
+    def _turn(self) -> np.ndarray:
+        s, n, m = self.state, self.N, self.M
+        for lo, hi in ((0, m), (m, n - 1), (n - 1, n)):
+            after = s[(np.arange(lo, hi) + 1) % n]
+            x = (s[lo:hi] & np.uint64(0xFFFFFFFF80000000)) | (after & np.uint64(0x7FFFFFFF))
+            s[lo:hi] = s[(np.arange(lo, hi) + m) % n] ^ (x >> np.uint64(1)) ^ np.where(x & np.uint64(1), np.uint64(0xB5026F5AA96619E9), np.uint64(0))
+        y = s ^ (s >> np.uint64(29) & np.uint64(0x5555555555555555))
+        y ^= y << np.uint64(17) & np.uint64(0x71D67FFFEDA60000)
+        y ^= y << np.uint64(37) & np.uint64(0xFFF7EEE000000000)
+        return y ^ y >> np.uint64(43)
+
+    def numbers(self, n: int) -> np.ndarray:
+        parts, have = [self.left], len(self.left)
+        while have < n:
+            parts.append(self._turn())
+            have += self.N
+        out = np.concatenate(parts)
+        self.left = out[n:]
+        return out[:n]
+
+    def below(self, bound: int, n: int) -> np.ndarray:
+        """n whole numbers from 0 to bound - 1: the high half of number * bound. For bounds under 2^32 a number is drawn again,
+        as the library does it, with odds under 2^-32; here the first one stands."""
+        x = self.numbers(n)
+        high, low = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)
+        b = np.uint64(bound)
+        return ((high * b + (low * b >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
+
+
+def bootstrap_half_width(samples: DataFrame, *, resamples: int = 1024, seed: int = 0xC1709F22AB, least: int = 30, keys: Sequence[str] = KEYS, order: str = "rep", value: str = "ns") -> DataFrame:
+    """(*keys, ci_pct): half the width of the 95 percent interval of the upper median as a percentage of it; 0 under `least` samples.
+
+    Each resample is drawn with the 64-bit Mersenne Twister, in the order of `order`, whatever the number of samples.
     """
-    rows = ranked(samples, keys, value)
-
-    @F.pandas_udf("array<long>")
-    def bounds(n: pd.Series) -> pd.Series:
-        def draw(n: int) -> list[int]:
-            u = np.sort(np.random.default_rng(seed).beta(n // 2 + 1, n - n // 2, resamples))
-            return [min(n - 1, int(x * n)) for x in (u[resamples * 25 // 1000], u[resamples * 975 // 1000])]
-
-        return n.map(draw)
 
-    sizes = rows.groupBy(*keys).agg(F.max("n").alias("m"))
-    wanted = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], bounds("m").alias("at"))
-    joined = rows.join(wanted, functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
-    found = joined.groupBy(*keys, "n").agg(_at(F.floor(F.col("n") / 2), value, "mid"), _at(F.get("at", F.lit(0)), value, "lo"), _at(F.get("at", F.lit(1)), value, "hi"))
-    width = F.when((F.col("n") < 30) | (F.col("mid") == 0), 0.0).otherwise(100 * (F.col("hi") - F.col("lo")) * 0.5 / F.abs("mid"))
-    return found.select(*keys, width.alias("ci_pct"))
+    def width(own: np.ndarray) -> list[float]:
+        n = len(own)
+        middle = float(np.partition(own, n // 2)[n // 2])
+        if n < least or middle == 0 or not math.isfinite(middle):
+            return [0.0]
+        rng = MersenneTwister64(seed)
+        held = [np.partition(own[rng.below(n, k * n).reshape(k, n)], n // 2, axis=1)[:, n // 2] for k in _parts(resamples, n)]
+        medians = np.sort(np.concatenate(held))
+        return [100.0 * float(medians[resamples * 975 // 1000] - medians[resamples * 25 // 1000]) * 0.5 / abs(middle)]
+
+    return _by_key(samples, keys, order, value, ("ci_pct",), width)

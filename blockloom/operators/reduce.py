@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockloom.operators.blocks import block_of, reduce_chunk
 
@@ -24,6 +25,11 @@ def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
+def kahan_zero() -> Column:
+    """A compensated sum of nothing."""
+    return F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("c"))
+
+
 def kahan_add(a: Column, x: Column) -> Column:
     """One step of compensated summation on struct(sum, c)."""
     y = x - a["c"]
@@ -75,32 +81,56 @@ def tree(partials: DataFrame, n_blocks: int, node: Callable[[Column, Column], Co
             return partials.select("p")
 
 
-def reduce_blocks(
-    indexed: DataFrame, value: Column, n: int, *, op: str = "sum", init: Column | None = None, determinism: str = "fixed", chunk: int = 0, idx: str = "idx", name: str = "value"
-) -> DataFrame:
-    """One row with the ordered reduction of value over an indexed frame of n rows.
-
-    op: sum, min or max. init is combined once, on the left, after the tree; an empty frame gives init (null without
-    one). determinism="kahan" compensates between blocks: each partial enters with compensation 0 and the sum is what is
-    returned. All-null blocks take no part.
-    """
-    size = reduce_chunk(n, chunk)
-    partials = block_partials(indexed, value, size, op, idx)
+def combined(partials: DataFrame, n_blocks: int, *, op: str = "sum", init: Column | None = None, determinism: str = "fixed", name: str = "value") -> DataFrame:
+    """One row with the tree over the partials (block, p), and init combined on its left, once. See reduce_blocks()."""
     if determinism == "kahan":
         if op != "sum":
             raise ValueError("only sums are compensated")
-        pairs = partials.select("block", kahan_add(F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("c")), F.coalesce(F.col("p").cast("double"), F.lit(0.0))).alias("p"))
-        total = tree(pairs, -(-n // size), kahan_node).select(F.col("p.sum").alias("p"))
+        pairs = partials.select("block", kahan_add(kahan_zero(), F.coalesce(F.col("p").cast("double"), F.lit(0.0))).alias("p"))
+        total = tree(pairs, n_blocks, kahan_node).select(F.col("p.sum").alias("p"))
     else:
         both = _NODES[op]
         node = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both(a, b))
-        total = tree(partials, -(-n // size), node)
-    one = total.agg(F.first("p").alias("p"))
+        total = tree(partials, n_blocks, node)
+    return _with_init(total.agg(F.first("p").alias("p")), op, init, name)
+
+
+def _with_init(one: DataFrame, op: str, init: Column | None, name: str) -> DataFrame:
     if init is None:
         return one.select(F.col("p").alias(name))
     return one.select(F.when(F.col("p").isNull(), init).otherwise(_NODES[op](init, F.col("p"))).alias(name))
 
 
+def orderless(indexed: DataFrame, value: Column, op: str) -> bool:
+    """Whether the reduction is the same in any order: least and greatest values, and sums of whole numbers and decimals."""
+    return op != "sum" or not isinstance(indexed.select(value).schema[0].dataType, (T.DoubleType, T.FloatType))
+
+
+def reduce_blocks(
+    indexed: DataFrame, value: Column, n: int, *, op: str = "sum", init: Column | None = None, determinism: str = "fixed", chunk: int = 0, idx: str = "idx", name: str = "value"
+) -> DataFrame:
+    """One row with the ordered reduction of value over an indexed frame of n rows.
+
+    op: sum, min or max. init is combined once, on the left, after the tree; an empty frame gives init (null without
+    one). determinism="kahan" compensates between blocks: each partial enters with compensation 0 and the sum is what is
+    returned. All-null blocks take no part. What is the same in any order is a plain aggregate: every task folds its rows.
+    """
+    if determinism == "fixed" and orderless(indexed, value, op):
+        return _with_init(indexed.agg(_FOLDS[op](value).alias("p")), op, init, name)
+    size = reduce_chunk(n, chunk)
+    return combined(block_partials(indexed, value, size, op, idx), -(-n // size), op=op, init=init, determinism=determinism, name=name)
+
+
+def kahan_within(indexed: DataFrame, value: Column, n: int, *, chunk: int = 1 << 12, idx: str = "idx", name: str = "value") -> DataFrame:
+    """One row with the sum that is compensated within blocks and between them; a block's own compensation ends with it.
+
+    A block's values meet in one array, so blocks have `chunk` rows whatever n is.
+    """
+    number = F.coalesce(value.cast("double"), F.lit(0.0))
+    blocks = folded_partials(indexed, number, chunk, kahan_zero(), kahan_add, idx).select("block", F.col("p.sum").alias("p"))
+    return combined(blocks, -(-n // chunk), determinism="kahan", name=name)
+
+
 def divergence(runs: DataFrame, run: str = "run", value: str = "value", baseline: int = 0) -> DataFrame:
     """(divergent_pct): the share of runs whose doubles differ in any bit from the baseline run's."""
     bits = lambda c: F.col(c).cast("double").cast("string")  # noqa: E731  the shortest text that reads back as the same bits

@@ -51,21 +51,32 @@ def scan_total(scanned: DataFrame, n: int, idx: str = "idx", name: str = "scan")
 def scan_with(indexed: DataFrame, value: str, n: int, fn: Callable[[Any, Any], Any], *, chunk: int = 0, idx: str = "idx", name: str = "scan") -> DataFrame:
     """(idx, name): inclusive scan by any associative function, commutative or not, of two Python values.
 
-    Two passes over blocks, as in scan_blocks: a block's rows (idx and value) are held by one task, so give a chunk that
-    fits. Nulls change nothing.
+    Two passes over blocks, as in scan_blocks. A block's rows stream through one task in order, batch by batch, so no block
+    is held. Nulls change nothing.
     """
     size = scan_chunk(n, chunk)
     kind = indexed.schema[value].dataType
     both = lambda a, b: b if a is None else a if b is None else fn(a, b)
     rows = indexed.select(block_of(F.col(idx), size).alias("block"), F.col(idx).alias("idx"), F.col(value).alias("v"))
+    ordered = lambda df: df.repartition("block").sortWithinPartitions("block", "idx")
     total_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("p", kind)])
     out_schema = T.StructType([T.StructField(idx, T.LongType()), T.StructField(name, kind)])
 
-    def total(table: pa.Table) -> pa.Table:
-        p = None
-        for v in table.sort_by("idx").column("v").to_pylist():
-            p = both(p, v)
-        return pa.table({"block": table.column("block").slice(0, 1), "p": pa.array([p], table.column("v").type)})
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, p, type_ = None, None, None
+        for batch in batches:
+            type_, done = batch.column("v").type, []
+            for block, v in zip(batch.column("block").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if block != now:
+                    done += [(now, p)] if now is not None else []
+                    now, p = block, None
+                p = both(p, v)
+            yield _pairs(done, type_)
+        if now is not None:
+            yield _pairs([(now, p)], type_)
+
+    def _pairs(done: list, type_: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in done], pa.int64()), pa.array([x for _, x in done], type_)], names=["block", "p"])
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.Table.from_batches(list(batches))  # MAX_BLOCKS rows at most
@@ -74,14 +85,19 @@ def scan_with(indexed: DataFrame, value: str, n: int, fn: Callable[[Any, Any], A
             own = [None, *itertools.accumulate(found.column("p").to_pylist(), both)][:-1]
             yield from pa.table({"block": found.column("block"), "p": pa.array(own, found.column("p").type)}).to_batches()
 
-    def local(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        start = table.column("start")[0].as_py()
-        out = list(itertools.accumulate([start, *table.column("v").to_pylist()], both))[1:]
-        return pa.table({idx: table.column("idx"), name: pa.array(out, table.column("v").type)})
-
-    offsets = rows.groupBy("block").applyInArrow(total, total_schema).coalesce(1).mapInArrow(starts, total_schema).withColumnRenamed("p", "start")
-    return rows.join(F.broadcast(offsets), "block").groupBy("block").applyInArrow(local, out_schema)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, p = None, None
+        for batch in batches:
+            out = []
+            for block, v, start in zip(*[batch.column(c).to_pylist() for c in ("block", "v", "start")], strict=True):
+                if block != now:
+                    now, p = block, start
+                p = both(p, v)
+                out.append(p)
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, batch.column("v").type)], names=[idx, name])
+
+    offsets = ordered(rows).mapInArrow(totals, total_schema).coalesce(1).mapInArrow(starts, total_schema).withColumnRenamed("p", "start")
+    return ordered(rows.join(F.broadcast(offsets), "block")).select("block", "idx", "v", "start").mapInArrow(local, out_schema)
 
 
 def compact(df: DataFrame, keep: Column, *order: Column | str, name: str = "slot") -> DataFrame:

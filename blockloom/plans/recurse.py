@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from blockloom.storage import materialize
 
 
+#: Also under Spark's limit of 100 levels of a recursive query.
+FIBONACCI = 91
+
+
 def expand_levels(roots: DataFrame, step: Callable[[DataFrame, int], DataFrame], *, max_depth: int | None = None, token=None, cut_every: int = 1) -> list[DataFrame]:
     """The levels of a tree, roots first. step(level, depth) gives the children; each level is written once.
 
@@ -45,7 +49,9 @@ def skynet(spark: SparkSession, depth: int = 6, fan: int = 10) -> DataFrame:
 
 
 def fibonacci(spark: SparkSession, n: int = 24) -> DataFrame:
-    """(n, fib) of 0 to n. Calls of one argument are merged at each level: two sums a level, not a call tree."""
+    """(n, fib) of 0 to n, up to FIBONACCI, the last that a long holds. Calls of one argument are merged at each level: two sums a level, not a call tree."""
+    if not 0 <= n <= FIBONACCI:
+        raise ValueError(f"n is from 0 to {FIBONACCI}, not {n}")
     return spark.sql(f"WITH RECURSIVE f(n, a, b) AS (SELECT 0, 0L, 1L UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < {n}) SELECT n, a AS fib FROM f")
 
 
@@ -63,20 +69,53 @@ def queens(spark: SparkSession, n: int = 8) -> DataFrame:
     return found.agg(F.lit(n).alias("n"), F.count("*").alias("solutions"))
 
 
-def knapsack(items: DataFrame, capacity: int, *, key: str, weight: str, value: str, item_limit: int = 64) -> DataFrame:
+def knapsack(items: DataFrame, capacity: int, *, key: str, weight: str, value: str) -> DataFrame:
     """(capacity, best): the greatest value of items that fit, each used at most once.
 
     Items come one at a time, as in the recursion; of the branches that have used the same capacity only the best stays,
-    so a level is an array of capacity + 1 numbers. Every item is a level: their number is checked.
+    so a level is an array of capacity + 1 numbers. Items meet in one row: each is a step of one fold, not a Spark job.
     """
-    if (n := items.count()) > item_limit:
-        raise ValueError(f"{n} items, over {item_limit}; each is a level")
     own = items.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(weight).cast("long").alias("w"), F.col(value).cast("long").alias("v")))).alias("items"))
     with_item = lambda best, x: F.transform(best, lambda old, c: F.when(c >= x.w, F.greatest(old, F.get(best, (c - x.w).cast("int")) + x.v)).otherwise(old))
     best = F.aggregate("items", F.array_repeat(F.lit(0).cast("long"), capacity + 1), with_item)
     return own.select(F.lit(capacity).cast("long").alias("capacity"), F.array_max(best).alias("best"))
 
 
+def knapsack_search(items: DataFrame, capacity: int, *, key: str, weight: str, value: str, token=None, stop_above: float | None = None, together: int = 4) -> DataFrame:
+    """(capacity, best, branches): the same by a search that is pruned by bounds; branches: how many were still open at the levels looked at.
+
+    A level decides about one item, densest first. A branch is dropped if even a fractional filling of its room with the
+    items to come cannot beat the best found so far, or if another has as much value and room. `together` levels are one
+    plan. A stopped token ends the search with the best found so far; it stops itself when an improvement is by a share of
+    over stop_above. The items, which are the depth of the search, are on the driver.
+    """
+    spark = items.sparkSession
+    rows = items.select(F.col(key).alias("k"), F.col(weight).cast("long").alias("w"), F.col(value).cast("long").alias("v")).where("w > 0 AND v > 0").collect()
+    own = sorted(((r.w, r.v) for r in rows), key=lambda x: (-x[1] / x[0], x))
+    level, best, seen = spark.createDataFrame([(capacity, 0)], "room long, value long"), 0, 1
+
+    def bound(k: int) -> Column:
+        """The value with a fractional filling of the room by items from number k on."""
+        start = F.struct(F.col("room").cast("double").alias("room"), F.col("value").cast("double").alias("value"))
+        rest = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(v)).alias("v")) for w, v in own[k:]])
+        fill = lambda a, x: F.struct((a.room - F.least(a.room, x.w)).alias("room"), (a.value + x.v * F.least(a.room, x.w) / x.w).alias("value"))
+        return F.aggregate(rest, start, fill).value if own[k:] else F.col("value").cast("double")
+
+    for k in range(0, len(own), together):
+        if token is not None and token.stop_requested:
+            break
+        for w, v in own[k : k + together]:
+            taken = level.where(F.col("room") >= w).select((F.col("room") - w).alias("room"), (F.col("value") + v).alias("value"))
+            level = level.unionByName(taken).groupBy("room").agg(F.max("value").alias("value"))
+        level = materialize(level, "branches")
+        found = level.agg(F.max("value"), F.count("*")).first()
+        before, best, seen = best, max(best, found[0] or 0), seen + found[1]
+        if token is not None and stop_above is not None and before and best > before * (1 + stop_above):
+            token.request_stop()
+        level = level.where(bound(k + together) > best)
+    return spark.createDataFrame([(capacity, best, seen)], "capacity long, best long, branches long")
+
+
 def geometric_tree(spark: SparkSession, *, seed: int = 19, branching: float = 4.0, max_depth: int = 10, cut: int = 5, parts: int = 0) -> DataFrame:
     """(depth, nodes) of the unbalanced tree whose node states are chained SHA-1 digests.
 

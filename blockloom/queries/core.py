@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockloom.control import DYNAMIC_CHAIN
 from blockloom.operators import bulk, kernels
 from blockloom.operators.blocks import block_of, chunk_size, slot_bounds, slot_of, with_index
-from blockloom.operators.reduce import divergence, folded_partials, reduce_blocks, tree
+from blockloom.operators.reduce import divergence, folded_partials, kahan_within, reduce_blocks, tree
 from blockloom.operators.scan import compact, scan_blocks, scan_with
 from blockloom.plans import chain, recurse
 from blockloom.storage import table
@@ -70,6 +71,9 @@ def map_block_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
 
 
+_KAHAN_STEP = "struct_pack(s := x.s + (y.s - x.c), c := ((x.s + (y.s - x.c)) - x.s) - (y.s - x.c))"
+
+
 @query(f"""
 WITH i AS (SELECT {_IDX} AS idx FROM orders), n AS (SELECT count(*) AS n FROM orders),
 b AS (SELECT 'dynamic' AS kind, idx // greatest(1, (n + 7) // 8) AS part, idx FROM i, n
@@ -108,6 +112,14 @@ def reduce_kahan_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_blocks(indexed, F.col("o_totalprice"), n, determinism="kahan", name="total")
 
 
+@query(_tree_sql(f"SELECT {_IDX} AS idx, o_totalprice AS v FROM orders", _KAHAN, leaf="struct_pack(s := p, c := 0.0::DOUBLE)", last="a[1].s", name="total").replace("greatest(1, (count(*) + 63) // 64)", "4096")
+    .replace("list_reduce(list_prepend(0.0::DOUBLE, list(v ORDER BY idx)), lambda x, y: x + y)", f"list_reduce(list_prepend(struct_pack(s := 0.0::DOUBLE, c := 0.0::DOUBLE), list(struct_pack(s := v, c := 0.0::DOUBLE) ORDER BY idx)), lambda x, y: {_KAHAN_STEP}).s"))
+def reduce_kahan_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compensated within blocks too."""
+    indexed, n = _orders(spark, sf_dir)
+    return kahan_within(indexed, F.col("o_totalprice"), n, name="total")
+
+
 @query("SELECT (1000 + sum(o_totalprice::DECIMAL(18,2)))::DOUBLE AS total, min(o_totalprice) AS least, greatest(0, max(o_totalprice)) AS greatest_or_zero FROM orders")
 def reduce_init_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """init is combined once, whatever the number of blocks."""
@@ -119,11 +131,11 @@ def reduce_init_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(total).join(one(least), "__one").join(one(most), "__one").drop("__one")
 
 
-@query("SELECT 42.0::DOUBLE AS total")
+@query("SELECT coalesce(42.0 + sum(o_totalprice), 42.0)::DOUBLE AS total FROM orders WHERE o_orderkey < 0")
 def reduce_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nothing to reduce gives init."""
-    none = table(spark, sf_dir, "orders").where("o_orderkey IS NULL").select(F.lit(0).cast("long").alias("idx"), "o_totalprice")
-    return reduce_blocks(none, F.col("o_totalprice"), 0, init=F.lit(42.0), name="total")
+    none = table(spark, sf_dir, "orders").where("o_orderkey < 0").select("o_orderkey", "o_totalprice")
+    return reduce_blocks(with_index(none, "o_orderkey"), F.col("o_totalprice"), none.count(), init=F.lit(42.0), name="total")
 
 
 @query("SELECT sum(1 + (i & 63))::BIGINT AS total FROM range(1000000) t(i)")
@@ -132,6 +144,30 @@ def reduce_cycle64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_blocks(spark.range(1_000_000).withColumnRenamed("id", "idx"), 1 + F.col("idx").bitwiseAND(F.lit(63)), 1_000_000, name="total")
 
 
+#: Costs of a Pareto distribution: a fifth of the rows has four fifths of the mass.
+_PARETO_SQL = "least(200000, floor(540 / pow(1 - (({0}) * 1103515245 + 12345) % 2147483648 / 2147483648.0::DOUBLE, 1 / 1.16::DOUBLE)))::BIGINT"
+
+
+def _pareto(i):
+    u = (i * 1103515245 + 12345) % 2147483648 / F.lit(2147483648.0)
+    return F.least(F.lit(200_000), F.floor(540 / F.pow(1 - u, F.lit(1 / 1.16)))).cast("long")
+
+
+@query(f"SELECT count(*) AS n, sum({_PARETO_SQL.format('i')})::BIGINT AS total FROM range(1000000) t(i)")
+def reduce_pareto_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A million skewed costs. They are whole numbers, so tasks fold their own rows, however the mass lies."""
+    indexed = spark.range(1_000_000).withColumnRenamed("id", "idx")
+    return reduce_blocks(indexed, _pareto(F.col("idx")), 1_000_000, name="total").select(F.lit(1_000_000).cast("long").alias("n"), "total")
+
+
+@query("SELECT i, (" + " + ".join(_PARETO_SQL.format(f"i + {k} * 2048") for k in range(7)) + ")::BIGINT AS total FROM range(2048) t(i)")
+def chain_pareto_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven stages, each adding its own skewed cost, between barriers that deal the rows out anew."""
+    rows = spark.range(2048).select(F.col("id").alias("idx"), F.lit(0).cast("long").alias("total"))
+    stages = [chain.global_stage(f"cost {k}", lambda df, k: df.withColumn("total", F.col("total") + _pareto(F.col("idx") + k * 2048))) for k in range(7)]
+    return chain.run_chain(rows, 2048, stages, participants=8, policy=DYNAMIC_CHAIN).select(F.col("idx").alias("i"), "total")
+
+
 @query("SELECT string_agg(n_name, '>' ORDER BY n_nationkey) AS names FROM nation")
 def reduce_concat_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An associative combiner that is not commutative keeps the order."""
@@ -318,6 +354,15 @@ def recurse_queens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurse.queens(spark, 8)
 
 
+@query("""
+WITH RECURSIVE q(depth, cols) AS (SELECT 0, []::INTEGER[] UNION ALL
+  SELECT depth + 1, list_append(cols, c::INTEGER) FROM q, range(12) t(c) WHERE depth < 12
+    AND len(list_filter(range(1, depth + 1), lambda r: cols[r] = c OR abs(cols[r] - c) = depth + 1 - r)) = 0)
+SELECT 12 AS n, count(*) AS solutions FROM q WHERE depth = 12""")
+def recurse_queens_twelve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurse.queens(spark, 12)
+
+
 @query("""
 WITH RECURSIVE items AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS k, 1 + (n_nationkey * 37) % 100 AS w, 1 + (n_nationkey * 53) % 100 AS v FROM nation),
 b(k, best) AS (SELECT 0, list_transform(range(0, 601), lambda c: 0::BIGINT)
@@ -328,7 +373,22 @@ def recurse_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurse.knapsack(nations, 600, key="n_nationkey", weight="weight", value="value")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE items AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS k, 1 + (n_nationkey * 37) % 100 AS w, 1 + (n_nationkey * 53) % 100 AS v FROM nation),
+b(k, best) AS (SELECT 0, list_transform(range(0, 601), lambda c: 0::BIGINT)
+  UNION ALL SELECT b.k + 1, list_transform(range(0, 601), lambda c: greatest(best[c + 1], CASE WHEN c >= w THEN best[c + 1 - w] + v ELSE 0 END)) FROM b JOIN items ON items.k = b.k + 1)
+SELECT 600::BIGINT AS capacity, best[601]::BIGINT AS best FROM b ORDER BY k DESC LIMIT 1""")
+def recurse_knapsack_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same best value by a search that bounds prune."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", (1 + (F.col("n_nationkey") * 37) % 100).alias("weight"), (1 + (F.col("n_nationkey") * 53) % 100).alias("value"))
+    return recurse.knapsack_search(nations, 600, key="n_nationkey", weight="weight", value="value").drop("branches")
+
+
+@query("""
+WITH RECURSIVE t(depth, state) AS (SELECT 0, unhex(sha1(unhex(repeat('0', 32) || lpad(hex(19), 8, '0'))))
+  UNION ALL SELECT depth + 1, unhex(sha1(unhex(hex(state) || lpad(hex(c), 8, '0')))) FROM (
+    SELECT depth, state, unnest(range(floor(ln(1 - (('0x' || right(hex(state), 8))::BIGINT & 2147483647) / 2147483648.0::DOUBLE) / ln(1 - 1 / (1 + 4.0::DOUBLE)))::BIGINT)) AS c FROM t WHERE depth < 10))
+SELECT depth, count(*) AS nodes FROM t GROUP BY depth""")
 def recurse_geometric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unbalanced tree of 4,130,071 nodes, level by level."""
     return recurse.geometric_tree(spark)

@@ -1,13 +1,16 @@
 import threading
 import time
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom import api
-from blockloom.control import KAHAN_REDUCE, STATIC, CancellationToken, Cancelled, Deadline, Policy, PriorityGate
+from blockloom import api, local
+from blockloom.control import CHAIN, DYNAMIC_CHAIN, KAHAN_REDUCE, STATIC, ChainPolicy, CancellationToken, Cancelled, Deadline, Policy, PriorityGate
 from blockloom.engine import Engine, EngineGroup
+from blockloom.plans import chain
 
 
 @pytest.fixture
@@ -48,6 +51,8 @@ def test_body_errors_surface(spark, engine):
 
     with pytest.raises(Exception, match="in the body"):
         engine.map_blocks(ones(spark), 1000, fails, "idx long").collect()
+    with pytest.raises(ValueError, match="^in the body$"):  # the body's own error, unwrapped
+        engine.map_blocks(ones(spark), 1000, fails, "idx long", now=True)
 
 
 def test_methods_and_functions_agree(spark, engine):
@@ -112,6 +117,111 @@ def test_stop_cancels_a_running_job(spark, engine):
     assert time.monotonic() - began < 30
 
 
+def stopping(after):
+    token = CancellationToken.owned()
+    threading.Timer(after, token.request_stop).start()
+    return token
+
+
+def test_running_operators_are_cancelled(spark, engine):
+    """Map, scan, chain, phases and bulk end without an error, with what was completed, long before they would have."""
+
+    def slowly(rows: pa.Table) -> pa.Table:
+        time.sleep(0.4)
+        return rows
+
+    sleepy = F.udf(lambda v: time.sleep(0.01) or v, "double")
+    df, n = ones(spark, 4000).repartition(8), 4000
+    slow_stage = chain.global_stage("slow", lambda rows, k: rows.withColumn("v", sleepy("v") + 1))
+    fast_stage = chain.global_stage("fast", lambda rows, k: rows.withColumn("v", F.col("v") + 1))
+    calls = {
+        "map": lambda t: engine.map_blocks(df, n, slowly, "idx long, v double", policy=Policy(chunk=20), token=t).count(),
+        "bulk": lambda t: engine.bulk(df, n, slowly, "idx long, v double", policy=Policy(chunk=20), token=t).count(),
+        "scan": lambda t: engine.scan(df, sleepy("v"), n, identity=-1.0, token=t).agg(F.max("scan")).first()[0],
+        "chain": lambda t: engine.chain(df, n, [fast_stage, slow_stage, slow_stage], token=t).agg(F.max("v")).first()[0],
+        "phases": lambda t: engine.phases(df, 50, lambda rows, p, _: rows.withColumn("v", sleepy("v")), token=t).count(),
+    }
+    for name, call in calls.items():
+        began, got = time.monotonic(), call(stopping(2.5))
+        assert time.monotonic() - began < 60, name
+        assert {"map": 0 <= got < n, "bulk": 0 <= got < n, "scan": got == -1.0, "chain": 1.0 <= got < 4.0, "phases": got == n}[name], (name, got)
+    token = CancellationToken.owned()
+    assert engine.map_blocks(df, n, lambda rows: rows, "idx long, v double", token=token).count() == n
+    assert engine.chain(df, n, [fast_stage] * 3, token=token).agg(F.max("v")).first()[0] == 4.0
+
+
+def test_calls_go_through_the_gate_by_priority(spark, engine):
+    order, df = [], ones(spark, 10)
+
+    def call(priority):
+        policy = Policy(priority=priority)
+
+        def body(rows):
+            return rows
+
+        engine.map_blocks(df, 10, body, "idx long, v double", policy=policy, now=True)
+        order.append(priority)
+
+    with engine._gate.admitted("throughput"):
+        threads = []
+        for p in ("background", "throughput", "latency"):
+            threads.append(threading.Thread(target=call, args=(p,)))
+            threads[-1].start()
+            while not engine._gate.waiting(p):
+                time.sleep(0.01)
+    for t in threads:
+        t.join()
+    assert order == ["latency", "throughput", "background"]
+
+
+def test_futures_end_with_rows_written(spark, engine):
+    df, n = ones(spark, 100), 100
+    futures = {
+        "map": engine.map_blocks_async(df, n, lambda rows: rows, "idx long, v double"),
+        "scan": engine.scan_async(df, F.col("v"), n),
+        "chain": engine.chain_async(df, n, [chain.static_stage("s", lambda rows, k: rows)]),
+        "phases": engine.phases_async(df, 2, lambda rows, p, _: rows),
+        "bulk": engine.bulk_async(df, n, F.col("v")),
+    }
+    for name, future in futures.items():
+        out = api.sync_wait(future)
+        assert out.inputFiles() and all("/blockloom/" in f for f in out.inputFiles()) and out.count() == n, name
+
+
+def test_chain_policy(spark, engine):
+    df, n = ones(spark, 100), 100
+    slots = lambda stages, policy: engine.chain(df, n, stages, policy=policy).select("slot").distinct().count()
+    whole, mixed = [chain.global_stage("a", lambda rows, k: rows)] * 2, [chain.global_stage("a", lambda rows, k: rows), chain.static_stage("b", lambda rows, k: rows)]
+    assert slots(whole, CHAIN) == 4 and slots(whole, DYNAMIC_CHAIN) == 8 and slots(mixed, DYNAMIC_CHAIN) == 4
+    assert slots(whole, ChainPolicy(balance="dynamic", same_chunk=False, chunk=7)) == 15
+    with pytest.raises(ValueError):
+        ChainPolicy(balance="odd")
+
+
+def test_deepening(spark, engine):
+    def search(depth, token):
+        time.sleep(0.02)
+        return depth
+
+    assert engine.deepening(search, limit=3, deadline=Deadline()) == 3
+    assert 1 <= engine.deepening(search, limit=10_000, deadline=Deadline.from_millis(500)) < 100
+    assert engine.deepening(search, limit=3, deadline=Deadline.from_millis(0)) is None
+    reduced = engine.deepening(lambda depth, token: depth * engine.reduce(ones(spark, 50), F.col("v"), 50, init=0.0, token=token), limit=1, deadline=Deadline())
+    assert reduced == 50.0
+
+
+def test_local_operators_have_the_bits_of_the_distributed_ones(spark, engine):
+    values = np.random.default_rng(3).normal(0, 1e6, 1000)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "idx long, v double")
+    for policy in (Policy(), KAHAN_REDUCE, Policy(chunk=7)):
+        assert local.reduce(pa.array(values), init=0.5, determinism=policy.determinism, chunk=policy.chunk) == engine.reduce(df, F.col("v"), 1000, init=0.5, policy=policy)
+    assert local.reduce([3, 1, 2], op="min") == 1 and local.reduce([], init=7) == 7
+    assert local.scan([1, 2, 3]).tolist() == [1, 3, 6] and local.scan([1, 2, 3], exclusive=True).tolist() == [0, 1, 3]
+    add = lambda rows, k: rows.set_column(0, "v", pc.add(rows.column("v"), 1))
+    assert local.chain(pa.table({"v": [0, 0, 0, 0]}), [add, add, add], serial=[0], participants=4).column("v").to_pylist() == [3, 2, 2, 2]
+    assert local.phases(pa.table({"v": [0]}), 3, add).column("v").to_pylist() == [3]
+
+
 def test_deadline(spark, engine):
     assert not Deadline().expired and Deadline.from_micros(0).expired and not Deadline.from_millis(60_000).expired
     token = CancellationToken.owned()

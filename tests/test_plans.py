@@ -106,8 +106,15 @@ def test_knapsack(spark):
     df = spark.createDataFrame(items, "k int, w int, v int")
     best = max(sum(v for i, (_, w, v) in enumerate(items) if m >> i & 1) for m in range(1 << 14) if sum(w for i, (_, w, _) in enumerate(items) if m >> i & 1) <= 120)
     assert recurse.knapsack(df, 120, key="k", weight="w", value="v").first().best == best
+    found = recurse.knapsack_search(df, 120, key="k", weight="w", value="v").first()
+    assert found.best == best and found.branches < 2**14
+    token = CancellationToken.owned()
+    part = recurse.knapsack_search(df, 120, key="k", weight="w", value="v", token=token, stop_above=0.01, together=2).first()
+    assert token.stop_requested and 0 < part.best <= best
+    assert recurse.knapsack_search(df.limit(0), 120, key="k", weight="w", value="v").first().best == 0
     with pytest.raises(ValueError):
-        recurse.knapsack(df, 120, key="k", weight="w", value="v", item_limit=10)
+        recurse.fibonacci(spark, 92)
+    assert recurse.fibonacci(spark, 91).where("n = 91").first().fib == 4660046610375530309
 
 
 def test_stopped_expansion(spark):

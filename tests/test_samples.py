@@ -122,14 +122,31 @@ def test_bootstrap(spark):
     assert (got["flat"].lo, got["flat"].hi) == (3.0, 3.0)
 
 
-def test_bootstrap_of_large_keys(spark, monkeypatch):
-    own = np.random.default_rng(4).normal(10, 1, 501)
-    exact = S.bootstrap(runs(spark, {("w", "p"): own.tolist()})).first()
-    monkeypatch.setattr(S, "RESAMPLED", 100)
-    drawn = S.bootstrap(runs(spark, {("w", "p"): own.tolist()})).first()
-    assert drawn.median == exact.median and abs(drawn.lo - exact.lo) < 0.03 and abs(drawn.hi - exact.hi) < 0.03
-    half = {r.pool: r.ci_pct for r in S.bootstrap_half_width(runs(spark, {("w", "p"): own.tolist(), ("w", "few"): [1.0, 2.0] * 14, ("w", "flat"): [3.0] * 40})).collect()}
-    assert half["few"] == 0.0 and half["flat"] == 0.0 and half["p"] == pytest.approx(100 * (exact.hi - exact.lo) / 2 / np.median(own), rel=0.2)
+@pytest.mark.parametrize("n", [501, 100_000])
+def test_bootstrap_of_any_size_is_numpys(spark, n):
+    own = np.random.default_rng(4).normal(10, 1, n)
+    data = runs(spark, {("w", "p"): own.tolist()})
+    got = S.bootstrap(data, resamples=64).first()
+    rng = np.random.default_rng(0xC1701)
+    held = np.array([np.median(own[rng.integers(0, n, size=n)]) for _ in range(64)])
+    assert (got.median, got.lo, got.hi) == (np.median(own), np.quantile(held, 0.025), np.quantile(held, 0.975))
+    twister = S.MersenneTwister64(0xC1709F22AB)
+    upper = np.sort([np.sort(own[twister.below(n, n)])[n // 2] for _ in range(64)])
+    want = 100 * (upper[64 * 975 // 1000] - upper[64 * 25 // 1000]) * 0.5 / np.sort(own)[n // 2]
+    assert S.bootstrap_half_width(data, resamples=64).first().ci_pct == pytest.approx(want, rel=1e-12)
+
+
+def test_half_width_of_few_and_equal_samples(spark):
+    half = {r.pool: r.ci_pct for r in S.bootstrap_half_width(runs(spark, {("w", "few"): [1.0, 2.0] * 14, ("w", "flat"): [3.0] * 40})).collect()}
+    assert half == {"few": 0.0, "flat": 0.0}
+
+
+def test_mersenne_twister():
+    """The C++ standard's value for the default seed."""
+    assert int(S.MersenneTwister64(5489).numbers(10_000)[-1]) == 9981545732273789042
+    a, b = S.MersenneTwister64(7), S.MersenneTwister64(7)
+    assert np.array_equal(np.concatenate([a.numbers(5), a.numbers(400)]), b.numbers(405))
+    assert all(int(x) * 12345 >> 64 == y for x, y in zip(S.MersenneTwister64(9).numbers(50), S.MersenneTwister64(9).below(12345, 50), strict=True))
 
 
 def document(**changes):
