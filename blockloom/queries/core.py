@@ -44,15 +44,18 @@ def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 _IDX = "row_number() OVER (ORDER BY o_orderkey, o_totalprice) - 1"
 
 
-def _tree_sql(rows: str, node: str, leaf: str = "p", last: str = "a[1]", name: str = "value") -> str:
+_FOLD = "list_reduce(list_prepend(0.0::DOUBLE, list(v ORDER BY idx)), lambda x, y: x + y)"
+
+
+def _tree_sql(rows: str, node: str, leaf: str = "p", last: str = "a[1]", name: str = "value", chunk: str = "greatest(1, (count(*) + 63) // 64)", fold: str = _FOLD) -> str:
     """DuckDB text of the fixed-block fold over rows (idx, v) and the tree above it; node combines a[2k+1] and a[2k+2]."""
     levels = ",\n".join(
         f"l{n + 1} AS (SELECT list_transform(range(0, (len(a) + 1) // 2), lambda k: CASE WHEN 2 * k + 2 <= len(a) THEN {node} ELSE a[2 * k + 1] END) AS a FROM l{n})" for n in range(LEVELS)
     )
     return f"""
 WITH rows AS ({rows}
-), c AS (SELECT greatest(1, (count(*) + 63) // 64) AS chunk FROM rows
-), parts AS (SELECT idx // chunk AS b, list_reduce(list_prepend(0.0::DOUBLE, list(v ORDER BY idx)), lambda x, y: x + y) AS p FROM rows, c GROUP BY 1
+), c AS (SELECT {chunk} AS chunk FROM rows
+), parts AS (SELECT idx // chunk AS b, {fold} AS p FROM rows, c GROUP BY 1
 ), l0 AS (SELECT list({leaf} ORDER BY b) AS a FROM parts
 ), {levels}
 SELECT {last} AS "{name}" FROM l{LEVELS}"""
@@ -71,7 +74,8 @@ def map_block_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
 
 
-_KAHAN_STEP = "struct_pack(s := x.s + (y.s - x.c), c := ((x.s + (y.s - x.c)) - x.s) - (y.s - x.c))"
+_KAHAN_FOLD = """list_reduce(list_prepend(struct_pack(s := 0.0::DOUBLE, c := 0.0::DOUBLE), list(struct_pack(s := v, c := 0.0::DOUBLE) ORDER BY idx)),
+  lambda x, y: struct_pack(s := x.s + (y.s - x.c), c := ((x.s + (y.s - x.c)) - x.s) - (y.s - x.c))).s"""
 
 
 @query(f"""
@@ -112,8 +116,7 @@ def reduce_kahan_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_blocks(indexed, F.col("o_totalprice"), n, determinism="kahan", name="total")
 
 
-@query(_tree_sql(f"SELECT {_IDX} AS idx, o_totalprice AS v FROM orders", _KAHAN, leaf="struct_pack(s := p, c := 0.0::DOUBLE)", last="a[1].s", name="total").replace("greatest(1, (count(*) + 63) // 64)", "4096")
-    .replace("list_reduce(list_prepend(0.0::DOUBLE, list(v ORDER BY idx)), lambda x, y: x + y)", f"list_reduce(list_prepend(struct_pack(s := 0.0::DOUBLE, c := 0.0::DOUBLE), list(struct_pack(s := v, c := 0.0::DOUBLE) ORDER BY idx)), lambda x, y: {_KAHAN_STEP}).s"))
+@query(_tree_sql(f"SELECT {_IDX} AS idx, o_totalprice AS v FROM orders", _KAHAN, leaf="struct_pack(s := p, c := 0.0::DOUBLE)", last="a[1].s", name="total", chunk="max(4096)", fold=_KAHAN_FOLD))
 def reduce_kahan_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compensated within blocks too."""
     indexed, n = _orders(spark, sf_dir)
