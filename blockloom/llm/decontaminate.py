@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import bit_field, bit_set, cells, column, field_bits, first_columns, materialize, raw, steady, without
-from blockloom.llm.words import ALPHANUMERIC, LOWER, Words, window_hashes, words_of
+from blockloom.llm.words import ALPHANUMERIC, BLOCK, LOWER, Words, window_hashes, words_of
 
 WINDOW = 13
 #: Every window of 13 words with two substitutions, and of 8 to 12 with one, holds one of these whole.
@@ -105,14 +105,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
                 found = words_of(body, offsets, ALPHANUMERIC)
                 words, at = found.hashes, found.at
                 hits: list[tuple[np.ndarray, np.ndarray]] = []
-                for m in masks:
-                    h = window_hashes(words, m)
+                for m, lo in ((m, lo) for m in masks for lo in range(0, len(words), BLOCK)):
+                    h = window_hashes(words[lo : lo + BLOCK + m[-1]], m)
                     x, y = _fields(h, bits)
                     k = np.flatnonzero(bit_set(a, x))
                     k = k[bit_set(b, y[k])]
-                    owner = np.searchsorted(at, k, "right") - 1
-                    k = k[k + m[-1] < at[owner + 1]]
-                    hits.append((k, h[k]))
+                    owner = np.searchsorted(at, k + lo, "right") - 1
+                    k = k[k + lo + m[-1] < at[owner + 1]]
+                    hits.append((k + lo, h[k]))
+                if not hits:
+                    continue
                 place, hashes = np.concatenate([k for k, _ in hits]), np.concatenate([h for _, h in hits])
                 if not len(place):
                     continue

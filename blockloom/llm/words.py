@@ -102,7 +102,8 @@ class Words:
 
 def words_of(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray, whole: bool = False) -> Words:
     """The words of texts that lie end to end, A-Z lower-cased. whole: keep the words themselves too."""
-    hashes, starts_, lengths_ = [], [], []
+    most = len(body) // 2 + len(offsets) + 1  # of which only what is written takes memory
+    hashes, starts_, lengths_ = np.empty(most, np.uint64), *([np.empty(most, np.int64) for _ in range(2)] if whole else [None] * 2)
     at, words, text = np.zeros(len(offsets), np.int64), 0, 0
     padded = np.zeros(len(body) + 8, np.uint8) if whole else None
     for lo, hi in _blocks(body, inside):
@@ -119,17 +120,13 @@ def words_of(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray, whole: b
         starts = np.flatnonzero(on[1:-1] & (~on[:-2] | cuts[:-1]))
         lengths = np.flatnonzero(on[1:-1] & (~on[2:] | cuts[1:])) + 1 - starts
         at[here[0] : here[1]] = words + np.searchsorted(starts, offsets[here[0] : here[1]] - lo)
+        new = slice(words, words + len(starts))
         words, text = words + len(starts), here[1]
-        hashes.append(_hashes(own, starts, lengths))
+        hashes[new] = _hashes(own, starts, lengths)
         if whole:
-            starts_.append(starts + lo)
-            lengths_.append(lengths)
+            starts_[new], lengths_[new] = starts + lo, lengths
     at[text:] = words
-    join = lambda parts: parts[0] if len(parts) == 1 else np.concatenate(parts)
-    if not hashes:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), at, none, none, padded)
-    return Words(join(hashes), at, join(starts_) if whole else None, join(lengths_) if whole else None, padded)
+    return Words(hashes[:words], at, starts_[:words] if whole else None, lengths_[:words] if whole else None, padded)
 
 
 def window_hashes(words: np.ndarray, places: tuple[int, ...]) -> np.ndarray:

@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import zlib
@@ -68,6 +69,60 @@ def test_mixtures_of_every_number_of_languages(spark):
         assert 1 / n <= share < 1.25 / n
 
 
+def brute(model, text, steps=8, penalty=0.5):
+    """(language, share): every set that adds languages by their shares in the mixture of all, one n-gram after another."""
+    counts = {b: int(n) for b, n in enumerate(language_id.gram_counts([text])[0]) if n}
+    total, all_ = sum(counts.values()), range(len(model.languages))
+
+    def em(share):
+        for _ in range(steps):
+            new = [0.0] * len(share)
+            for b, n in counts.items():
+                joint = [share[k] * model.p[b, k] for k in all_]
+                for k in all_:
+                    new[k] += n * joint[k] / sum(joint)
+            share = [x / sum(new) for x in new]
+        return share, sum(n * math.log(sum(share[k] * model.p[b, k] for k in all_)) for b, n in counts.items())
+
+    whole = em([1 / len(all_)] * len(all_))[0]
+    order = sorted(all_, key=lambda k: (-whole[k], k))
+    alone = [sum(n * math.log(model.p[b, k]) for b, n in counts.items()) for k in all_]
+    best = max(all_, key=lambda k: (alone[k], -k))
+    gain, chosen = alone[best], [float(k == best) for k in all_]
+    for m in range(2, len(all_) + 1):
+        start = [max(whole[k], 1e-3) if k in order[:m] else 0.0 for k in all_]
+        share, fit = em([x / sum(start) for x in start])
+        if fit - (m - 1) * penalty * language_id.OVERLAP * math.log(total) > gain:
+            gain, chosen = fit - (m - 1) * penalty * language_id.OVERLAP * math.log(total), share
+    top = max(all_, key=lambda k: (chosen[k], -k))
+    return model.languages[top], chosen[top]
+
+
+def test_against_plain_expectation_maximisation(spark):
+    r = random.Random(6)
+    docs = documents(spark, labelled())
+    model = language_id.fit(docs)
+    texts = [" ".join(r.choices(LANGS[r.choice(sorted(LANGS))].split() + LANGS[r.choice(sorted(LANGS))].split(), k=r.randrange(3, 80))) for _ in range(25)]
+    texts += [" ".join(w for x in LANGS.values() for w in x.split() * 3), "a", "x" * 50]
+    for text, (lang, share) in zip(texts, model.predict(texts), strict=True):
+        want, part = brute(model, text)
+        assert lang == want and (part > 1 - 1e-9 or share == pytest.approx(part, abs=1e-9))
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("aB é\n.Σ中 ") for _ in range(n)) for n in (0, 3, 50, 51, 400, 1000)] + ["x" * 300]
+    whole = language_id.gram_counts(texts)
+    monkeypatch.setattr(language_id, "WORK_BYTES", 50)
+    assert (language_id.gram_counts(texts) == whole).all()
+
+
+def test_too_many_labels_raise(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit(documents(spark, labelled()))
+
+
 def test_nothing_to_learn_or_predict(spark):
     docs = documents(spark, labelled())
     none = language_id.fit(docs.limit(0))

@@ -71,3 +71,20 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, tmp_path):
+    """Columns of any name pass through all stages but the last; rows that repeat and nulls are judged as the stages say."""
+    from helpers import documents
+
+    rows, items = fixture()
+    rows += [(None, rows[0][1] + " more", "l1"), (700, rows[1][1] + " end", None), (700, rows[1][1] + " end", None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    kept = docs.collect()
+    assert sum(r.doc_id == 700 for r in kept) <= 1 and all(r["a.b"] == r["order"] == "x" for r in kept) and len(kept) > 50

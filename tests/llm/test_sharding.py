@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -56,3 +57,31 @@ def test_the_same_rows_in_any_order_get_the_same_shards(spark):
     rows = rows_of(500)
     runs = [sorted(tuple(r) for r in sharding.shard(documents(spark, x).repartition(p)).drop("grown_shard").collect()) for x, p in ((rows, 1), (rows[::-1], 5))]
     assert sorted(runs[0], key=repr) == sorted(runs[1], key=repr)
+
+
+def test_every_key_against_a_walk_around_the_ring(spark):
+    """One key after another, by band, arc and order, goes clockwise from its home to the first shard with room."""
+    from pyspark.sql import functions as F
+
+    rows = [*rows_of(700), *[(7, f"other {k}") for k in range(60)], (None, None), (None, None)]
+    docs = documents(spark, rows)
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    keys = docs.select("doc_id", size.alias("size"), crc.alias("crc"), F.pmod(F.xxhash64("doc_id"), F.lit(sharding.RING)).alias("at")).withColumn("order", F.xxhash64("doc_id", "size", "crc")).collect()
+    for n_shards, slack in ((9, 0.0), (9, 0.2)):
+        points = sorted((int.from_bytes(hashlib.md5(f"shard {s} node {v}".encode()).digest()[:4], "big"), s) for s in range(n_shards) for v in range(64))
+        room, want, homes = sharding.capacities(len(rows), n_shards, slack), Counter(), []
+        for k in keys:
+            homes.append(next((j for j, (p, _) in enumerate(points) if p >= k["at"]), 0))
+        for home, k in sorted(zip(homes, keys, strict=True), key=lambda x: (x[1].order % 32, x[0], x[1].order)):
+            shard = next(s for _, s in points[home:] + points[:home] if room[s] > 0)
+            room[shard] -= 1
+            want[k.doc_id, k["size"], k.crc, shard] += 1
+        got = sharding.shard(docs, n_shards=n_shards, slack=slack).collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard) for r in got) == want
+
+
+def test_very_many_copies_are_expanded_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(1, "same")] * 200 + [(2, "other")] * 7 + [(3, "few")] * 3
+    counts = check(sharding.shard(documents(spark, rows), n_shards=4).collect(), rows, 4)
+    assert max(counts.values()) - min(counts.values()) <= 1
