@@ -19,7 +19,7 @@ __all__ = ["bit_field", "bit_set", "cells", "column", "discard", "field_bits", "
 WORK_BYTES = 1 << 19
 
 #: Least and most bits of a field by which rows that a join would drop are left out before it.
-FIELD = (1 << 16, 1 << 27)
+FIELD = (1 << 22, 1 << 27)
 
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
@@ -44,8 +44,8 @@ def steady(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def field_bits(n: int) -> int:
-    """Bits of a field for n keys: eight a key, from FIELD[0] up to FIELD[1], whatever n."""
-    return min(max(1 << (8 * n - 1).bit_length() if n else 0, FIELD[0]), FIELD[1])
+    """Bits of a field for n keys: 64 a key, from FIELD[0] up to FIELD[1], whatever n. One key in 64 others passes, more beyond."""
+    return min(max(1 << (64 * n).bit_length(), FIELD[0]), FIELD[1])
 
 
 def bit_field(df: DataFrame, place: Column, bits: int) -> np.ndarray:
