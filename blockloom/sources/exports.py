@@ -19,18 +19,19 @@ _CONTEXT = {
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, root): the files of a path, each with its fields as JSON text; root is null where a file isn't a JSON object."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.withColumn("kind", F.expr("try_variant_get(try_parse_json(text), '$', 'map<string,variant>')").isNotNull())
+    """(path, text, root, kind): the files of a path, parsed once; kind tells whether a file is a JSON object."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.expr("try_parse_json(value)").alias("root"))
+    return files.withColumn("kind", F.coalesce(F.expr("schema_of_variant(root) LIKE 'OBJECT%'"), F.lit(False)))
 
 
 def _fields(docs: DataFrame, engine: str) -> DataFrame:
     context = ", ".join(f"`{k.format(engine=engine)}` {t}" for k, (t, _) in _CONTEXT.items()) + f", checklist array<{_GATE}>"
     return docs.select(
         "path",
-        F.expr("try_variant_get(try_parse_json(text), '$.schema_version', 'int')").alias("version"),
-        F.expr("schema_of_variant(try_variant_get(try_parse_json(text), '$.context', 'variant')) LIKE 'OBJECT%'").alias("has_context"),
-        F.expr("schema_of_variant(try_variant_get(try_parse_json(text), '$.samples', 'variant')) LIKE 'ARRAY%'").alias("has_samples"),
+        "kind",
+        F.expr("try_variant_get(root, '$.schema_version', 'int')").alias("version"),
+        F.expr("schema_of_variant(try_variant_get(root, '$.context', 'variant')) LIKE 'OBJECT%'").alias("has_context"),
+        F.expr("schema_of_variant(try_variant_get(root, '$.samples', 'variant')) LIKE 'ARRAY%'").alias("has_samples"),
         F.from_json("text", f"context struct<{context}>, samples array<{_SAMPLE}>").alias("doc"),
     )
 
@@ -46,11 +47,11 @@ def read_export(spark: SparkSession, path: str, engine: str = "engine") -> tuple
     Missing context fields become "", 0 or false; entries of the checklist that are no objects are left out. ValueError
     for a document that is no JSON object, has another schema_version, or no context or samples.
     """
-    docs = _documents(spark, path)
-    fields = _fields(docs, engine)
-    for wrong, why in ((docs.where("NOT kind"), "no JSON object"), (fields.where(f"coalesce(version, 0) <> {SCHEMA_VERSION}"), "unsupported schema_version"), (fields.where("NOT coalesce(has_context, false)"), "no context"), (fields.where("NOT coalesce(has_samples, false)"), "no samples")):
-        if row := wrong.select("path").head():
-            raise ValueError(f"{row[0]}: {why}")
+    fields = _fields(_documents(spark, path), engine)
+    wrong = F.when(~F.col("kind"), "no JSON object").when(F.coalesce("version", F.lit(0)) != SCHEMA_VERSION, "unsupported schema_version")
+    wrong = wrong.when(~F.coalesce("has_context", F.lit(False)), "no context").when(~F.coalesce("has_samples", F.lit(False)), "no samples")
+    if first := fields.select("path", wrong.alias("why")).where("why IS NOT NULL").agg(F.min(F.struct("path", "why"))).first()[0]:
+        raise ValueError(f"{first.path}: {first.why}")
     names = {k: k.format(engine=engine) for k in _CONTEXT}
     context = fields.select("path", *[F.coalesce(F.col(f"doc.context.`{names[k]}`"), F.lit(missing)).alias(names[k]) for k, (_, missing) in _CONTEXT.items()], F.filter(F.coalesce("doc.context.checklist", F.array()), lambda g: g.isNotNull()).alias("checklist"))
     return context, _samples(fields).orderBy("workload", "pool", "rep")
