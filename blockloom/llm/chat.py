@@ -62,7 +62,9 @@ def render(messages: DataFrame) -> DataFrame:
     """(conv_id, n_turns, segments, formatted): one row a conversation; segments are (text, loss) and make up formatted.
 
     Loss lies on the texts of assistant turns alone. Each turn is rendered where it is; pieces of CHUNK turns are put
-    together first, then the conversation. A conversation's row holds its whole text, as its output does.
+    together first, then the conversation. A conversation's row holds its whole text, as its output does; all rows without
+    a conv_id are one conversation, so clear or drop them first where they may be over 2 GB of text. An empty table gives
+    none; other columns are not read.
     """
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     rows = messages.select("conv_id", "turn", "k", F.struct("turn", "k", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss")).alias("m"))

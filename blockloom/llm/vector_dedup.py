@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockloom.llm.common import first_columns, materialize
 from blockloom.llm.components import components
@@ -72,7 +73,7 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, block: int = BL
     Each (group, size) is dealt into blocks of about `block` vectors by a hash, however large it is, and every pair of
     its blocks is one task's tile. Tile products of int8 values bound every cosine from both sides; pairs whose bound
     reaches the threshold are computed again in double precision. A tile returns counts and a spanning forest, at most
-    one row a vector, never its pairs; components of the forests are found by the shared distributed method.
+    one row a vector, never its pairs; vectors are shipped in their own type, and made doubles there; components of the forests are found by the shared distributed method.
 
     Null vectors, zero vectors and vectors with null or non-finite parts, rows with a null id or group: no links, their
     own component. Rows that repeat an id each count as a vector and share its component. Empty table: empty result.
@@ -80,7 +81,9 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, block: int = BL
     base = first_columns(rows, id=id_col, v=vector_col, g=group_col)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = base.where(F.col("id").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
-    usable = usable.select("id", "g", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("d"))
+    own_type = base.schema["v"].dataType.elementType
+    shipped = F.col("v") if isinstance(own_type, (T.FloatType, T.DoubleType)) else F.col("v").cast("array<double>")
+    usable = usable.select("id", "g", shipped.alias("v"), F.size("v").alias("d"))
     usable = materialize(usable.withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = usable.groupBy("g", "d").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnsRenamed({"g": "g2", "d": "d2"})
     dealt = usable.join(sizes, (F.col("g") == F.col("g2")) & (F.col("d") == F.col("d2"))).drop("g2", "d2")
@@ -94,7 +97,7 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, block: int = BL
         table, own = table.take(pa.array(order)), own[order]
         ids = table.column("id")
         size = table.column("d")[0].as_py()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         cut = int(np.searchsorted(own, i, "right"))
         links, labels, _ = tile(vectors, vectors, True, threshold) if i == j else tile(vectors[:cut], vectors[cut:], False, threshold)

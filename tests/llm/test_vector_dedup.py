@@ -62,3 +62,15 @@ def test_repeated_ids_and_nothing(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, False)]
     assert vector_dedup.near_duplicates(table(spark, [])).collect() == []
+
+
+def test_long_vectors_and_doubles(spark):
+    """Vectors of thousands of components, and components that only doubles hold."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 5000))
+    rows = [(k, (centres[k % 4] + rng.normal(size=5000) * (0.2 if k % 3 else 0.45)).tolist(), 1) for k in range(40)]
+    assert sorted(tuple(r) for r in vector_dedup.near_duplicates(table(spark, rows), block=9).collect()) == brute(rows, 0.93)
+    exact = float(np.sqrt(1 - 0.93**2))
+    pairs = [(0, [1.0, 0.0], 1), (1, [0.93 + 1e-12, exact], 1), (2, [1.0, 0.0], 2), (3, [0.93 - 1e-9, exact], 2)]
+    doubles = spark.createDataFrame(pairs, "vec_id long, embedding array<double>, label int")
+    assert [r.n_links for r in vector_dedup.near_duplicates(doubles).orderBy("vec_id").collect()] == [1, 1, 0, 0]
