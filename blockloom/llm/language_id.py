@@ -23,6 +23,8 @@ from blockloom.llm.common import WORK_BYTES, column, first_columns, steady
 BUCKETS = 1 << 13
 #: Documents whose dense count matrix is held at once.
 GROUP = 256
+#: Numbers of a table of n-grams by languages that is held at once.
+CELLS = 1 << 23
 #: Neighbouring n-grams share letters, so each letter is counted about so many times.
 OVERLAP = 3.0
 #: Texts of fewer distinct n-grams are not rejected as of no learned language.
@@ -207,15 +209,19 @@ def fit(docs: DataFrame, *, sample: int = 20_000, seed: int = 0, id_col: str = "
     return Model(languages, (table + 0.5) / (table.sum(0) + 0.5 * BUCKETS))
 
 
-def groups(sizes: list[int]) -> Iterator[list[int]]:
-    """Indexes of texts in groups of at most GROUP texts and about WORK_BYTES characters."""
-    group, held = [], 0
+def groups(sizes: list[int], languages: int = 1) -> Iterator[list[int]]:
+    """Indexes of texts in groups of at most GROUP texts and about WORK_BYTES characters and CELLS numbers.
+
+    A text has at most BUCKETS distinct n-grams, each with a number for every language.
+    """
+    group, held, cells = [], 0, 0
     for k, size in enumerate(sizes):
         group.append(k)
         held += size
-        if len(group) == GROUP or held >= WORK_BYTES:
+        cells += min(size + 2, BUCKETS) * languages
+        if len(group) == GROUP or held >= WORK_BYTES or cells >= CELLS:
             yield group
-            group, held = [], 0
+            group, held, cells = [], 0, 0
     if group:
         yield group
 
@@ -225,7 +231,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     lang_pred is the language with the greatest share of the chosen set, score its share; in a text of one language,
     how likely it is among all. Of equal shares, the language that comes first by name is taken. Sets of every size up to
-    all languages are weighed. A long text is read in parts; a task holds it and a table of BUCKETS counts. Null texts and texts without a letter give `und` and 0, as does an empty model. Repeated
+    all languages are weighed. A long text is read in parts; a task holds it and a table of BUCKETS counts, and of other
+    texts as many as give about CELLS numbers, however many languages there are. Null texts and texts without a letter give `und` and 0, as does an empty model. Repeated
     rows and null ids give their own rows, other columns are not read, an empty table gives an empty result.
     """
     fields = [(c, docs.schema[c].dataType) for c in (id_col, *keep)] + [("lang_pred", T.StringType()), ("score", T.DoubleType())]
@@ -239,7 +246,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             out = [(UNDETERMINED, 0.0)] * len(texts)
             rows = [k for k, t in enumerate(texts) if has_letter(t)]
             own = [texts[k] for k in rows]
-            for group in groups([len(t) for t in own]):
+            for group in groups([len(t) for t in own], len(known.languages)):
                 for k, found in zip(group, known.predict([own[k] for k in group]), strict=True):
                     out[rows[k]] = found
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=schema.names)
@@ -261,7 +268,7 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
         known, keep = shared.value, np.zeros(len(texts), bool)
         rows = [k for k, t in enumerate(texts) if has_letter(t.as_py())]
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        for group in groups(sizes[rows].tolist()):
+        for group in groups(sizes[rows].tolist(), len(known.languages)):
             own = [texts[rows[k]].as_py() for k in group]
             for k, (lang, _, gain, kinds) in zip(group, known.explain(own), strict=True):
                 keep[rows[k]] = lang != UNDETERMINED and (gain > 0 or kinds < FEW)

@@ -3,6 +3,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from helpers import documents
 from pyspark.sql import functions as F
@@ -157,3 +158,20 @@ def test_held_out_accuracy(spark):
     out = op3_language_id(spark, DATA).join(lang, "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
     right, n = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert n > 50 and right > 0.9
+
+
+def test_groups_are_smaller_with_many_languages():
+    """What is held does not grow with the languages, and results don't depend on the groups."""
+    sizes = [900] * 300 + [10**6, 5]
+    for languages in (1, 4, 200, 1_000):
+        found = list(language_id.groups(sizes, languages))
+        assert [k for g in found for k in g] == list(range(len(sizes)))
+        for g in found:
+            held = [min(sizes[k] + 2, language_id.BUCKETS) * languages for k in g]
+            assert len(g) <= language_id.GROUP and sum(held[:-1]) < language_id.CELLS
+    rng = np.random.default_rng(3)
+    table = rng.random((language_id.BUCKETS, 60)) + 0.01
+    model = language_id.Model(tuple(f"l{k:02}" for k in range(60)), table / table.sum(0))
+    texts = [t for _, t, _ in labelled(40)]
+    whole = model.predict(texts)
+    assert whole == [x for g in language_id.groups([len(t) for t in texts], 10**5) for x in model.predict([texts[k] for k in g])]
