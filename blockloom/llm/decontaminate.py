@@ -163,7 +163,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     return without(docs, key, materialize(found.select("key").distinct(), "leaks"))
 
 
-#: The same from contiguous seeds: any such window holds four consecutive equal words.
+#: The same from contiguous seeds: any such window holds four consecutive equal words; items of fewer are sought whole.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
@@ -172,9 +172,14 @@ WITH d AS (
 ), dg AS (
   SELECT doc_id, p, array_to_string(w[p : p + 3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d)
 ), ig AS (
-  SELECT item_id, p, array_to_string(w[p : p + 3], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM i WHERE len(w) >= 5)
+  SELECT item_id, p, array_to_string(w[p : p + 3], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM i WHERE len(w) >= 4)
+), short AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS gram FROM i WHERE len(w) BETWEEN 1 AND 3
+), sg AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM short))
 ), aligned AS (
   SELECT DISTINCT doc_id, item_id, dg.p - ig.p AS diagonal FROM dg JOIN ig USING (gram)
+  UNION SELECT doc_id, item_id, p - 1 FROM sg JOIN short USING (n, gram)
 ), windows AS (
   SELECT doc_id, item_id, diagonal, d.w AS dw, i.w AS iw, least(13, len(i.w)) AS n, unnest(range(1, len(i.w) - least(13, len(i.w)) + 2)) AS s
   FROM aligned JOIN d USING (doc_id) JOIN i USING (item_id)

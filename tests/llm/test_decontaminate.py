@@ -103,3 +103,17 @@ def test_hot_seeds_and_repeated_passages(spark, monkeypatch):
     items = [(k, f"{passage} {prose(k, 4)}") for k in range(5)]
     docs = [(k, f"{prose(50 + k, 20)} {passage} {prose(90 + k, 4)}") for k in range(12)] + [(99, f"{passage} w1 w2 w3 w4 " * 120)]
     assert found(spark, docs, items) == brute(docs, items)
+
+
+def test_oracle_seeks_items_of_any_length():
+    import duckdb
+
+    items = [(k, prose(700 + k, n, 60)) for k, n in enumerate((1, 2, 3, 4, 5, 7, 8, 13, 20))] + [(90, ""), (91, None)]
+    docs = [(k, f"{prose(800 + k, k % 9, 60)} {items[k % 9][1]} {prose(900 + k, k % 5, 60)}") for k in range(40)] + [(90, None), (91, "")]
+    with duckdb.connect() as db:
+        for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+            db.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+            db.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+        got = {(i, k): (n, m) for i, k, n, m in db.execute(f"SELECT doc_id, item_id, \"window\", matched FROM ({D.ORACLE})").fetchall()}
+    want = brute(docs, items)
+    assert got == want and {n for n, _ in want.values()} == {1, 2, 3, 4, 5, 7, 8, 13}
