@@ -98,6 +98,8 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, block: int = BL
         ids = table.column("id")
         size = table.column("d")[0].as_py()
         vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        # Powers of two change no digit of a cosine, and keep the squares of very small or large parts in range.
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         cut = int(np.searchsorted(own, i, "right"))
         links, labels, _ = tile(vectors, vectors, True, threshold) if i == j else tile(vectors[:cut], vectors[cut:], False, threshold)

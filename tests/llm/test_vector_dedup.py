@@ -74,3 +74,13 @@ def test_long_vectors_and_doubles(spark):
     pairs = [(0, [1.0, 0.0], 1), (1, [0.93 + 1e-12, exact], 1), (2, [1.0, 0.0], 2), (3, [0.93 - 1e-9, exact], 2)]
     doubles = spark.createDataFrame(pairs, "vec_id long, embedding array<double>, label int")
     assert [r.n_links for r in vector_dedup.near_duplicates(doubles).orderBy("vec_id").collect()] == [1, 1, 0, 0]
+
+
+def test_squares_out_of_range(spark):
+    """Parts whose squares are no numbers any more are compared like others."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=16)
+    rows = [(k, (v * f).tolist(), 1) for k, f in enumerate((1.0, 1e-200, 1e200, -1.0, 1e-300))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (3, 0, 3, True), (4, 3, 0, False)]
