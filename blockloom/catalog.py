@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.queries import core, stats
+from blockloom.queries import calls, core, stats
 
-QUERIES = core.QUERIES | stats.QUERIES
-ORACLES = core.ORACLES | stats.ORACLES
+QUERIES = core.QUERIES | calls.QUERIES | stats.QUERIES
+ORACLES = core.ORACLES | calls.ORACLES | stats.ORACLES

@@ -20,13 +20,13 @@ ORACLES: dict[str, str] = {}
 LEVELS = 6
 
 
-def query(sql: str | None) -> Callable[[Callable], Callable]:
+def query(sql: str | None, queries: dict = QUERIES, oracles: dict = ORACLES) -> Callable[[Callable], Callable]:
     """Register a query under its function's name, with its DuckDB text."""
 
     def add(fn: Callable) -> Callable:
-        QUERIES[fn.__name__] = fn
+        queries[fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            oracles[fn.__name__] = sql
         return fn
 
     return add
