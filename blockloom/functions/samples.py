@@ -203,6 +203,11 @@ def relative_to(rows: DataFrame, baseline: str, *, order: str, group: str = "wor
     return joined.select(*rows.columns, F.when((F.col("__base") > 0) & (F.col(value) > 0), 100 * F.col("__base") / F.col(value)).alias("relative_pct"))
 
 
+def power_of_ten(exponent: Column) -> Column:
+    """The double nearest to ten to a whole exponent; the JVM's pow(10, -5) is the one below it."""
+    return F.concat(F.lit("1e"), exponent.cast("string")).cast("double")
+
+
 def si_number(value: Column, digits: int = 3) -> Column:
     """The number with a G, M or k suffix and digits - 1 decimals; under 1, plain with `digits` decimals."""
     # format_number rounds the number's exact binary value; format_string its shortest decimal text

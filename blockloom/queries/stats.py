@@ -190,7 +190,7 @@ def stat_relative_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN v >= 1e9 THEN printf('%.2fG', v / 1e9) WHEN v >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.2fk', v / 1e3) WHEN v >= 1 THEN printf('%.2f', v) ELSE printf('%.3f', v) END AS shown
 FROM (SELECT o_orderkey, o_totalprice * power(10.0::DOUBLE, (o_orderkey % 13)::DOUBLE - 7) AS v FROM orders)""")
 def stat_si_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("o_totalprice") * F.pow(F.lit(10.0), (F.col("o_orderkey") % 13).cast("double") - 7)
+    value = F.col("o_totalprice") * S.power_of_ten(F.col("o_orderkey") % 13 - 7)
     return table(spark, sf_dir, "orders").select("o_orderkey", S.si_number(value).alias("shown"))
 
 

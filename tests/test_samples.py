@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import samples as S
+from blockloom.queries import stats
 from blockloom.sources import exports
 
 VENDORS = ["X", "Y"]
@@ -111,6 +112,24 @@ def test_si(spark):
     assert [r[0] for r in df.select(S.si_number(F.col("v"))).collect()] == ["1.50G", "2.25M", "-3.10k", "12.00", "0.500", "0.000"]
 
 
+def test_powers_of_ten_are_the_nearest_doubles(spark):
+    got = spark.range(50).select(S.power_of_ten(F.col("id") - 25)).collect()
+    assert [r[0] for r in got] == [float(f"1e{k}") for k in range(-25, 25)]
+
+
+def test_si_numbers_near_a_tie(spark, tmp_path):
+    """297500 * 10^-5 is a little over 2.975; times the double below 10^-5, a little under."""
+    import duckdb
+
+    prices = [(833341, 297500.0), (327719, 32350.0), (2, 12345.67), (12, 412345.5), (13, -2.5), (14, None)]
+    spark.createDataFrame(prices, "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.shown for r in stats.QUERIES["stat_si_numbers"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        assert got == dict(db.sql(stats.ORACLES["stat_si_numbers"]).fetchall())
+    assert (got[833341], got[327719]) == ("2.98", "0.324")
+
+
 def test_bootstrap(spark):
     rng = np.random.default_rng(2)
     data = {("w", "few"): rng.normal(10, 1, 11).tolist(), ("w", "enough"): rng.normal(10, 1, 12).tolist(), ("w", "flat"): [3.0] * 40}
