@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -218,43 +218,80 @@ def si_number(value: Column, digits: int = 3) -> Column:
 
 
 def _by_key(samples: DataFrame, keys: Sequence[str], order: str | None, value: str, names: Sequence[str], use: Callable[[np.ndarray], Sequence[float]]) -> DataFrame:
-    """(*keys, *names): what use() makes of each key's values, in their order. A task holds one key's values, 8 bytes each."""
+    """(*keys, *names): what use() makes of each key's values, in their order. Spark sorts; a task holds one key's values."""
     clean = samples.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, *([order] if order else []), F.col(value).cast("double").alias("__v"))
     schema = T.StructType([*[clean.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in names]])
+    by = [F.col(order).asc_nulls_last(), F.col("__v")] if order else []
+    dealt = clean.repartition(*keys).sortWithinPartitions(*keys, *by).select(*keys, "__v")
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ([order] if order else []) + ["__v"]]) if order else rows
-        found = use(rows.column("__v").to_numpy())
-        return pa.table([*[rows.column(k).slice(0, 1) for k in keys], *[pa.array([x], pa.float64()) for x in found]], names=schema.names)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+        for batch in batches:
+            held += memoryview(np.ascontiguousarray(batch.column(len(keys)).to_numpy())).cast("B")
+        found = use(np.frombuffer(held, np.float64))
+        yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], *[pa.array([x], pa.float64()) for x in found]], names=schema.names)
 
-    return clean.groupBy(*keys).applyInArrow(run, schema)
+    return dealt.groupBy(*keys).applyInArrow(run, schema)
+
+
+#: Draws of a bootstrap made at once.
+DRAWS = 1 << 18
+
+
+def _resampled(own: np.ndarray, ranks: Sequence[int], resamples: int, seeded: Callable[[], Callable[[int], np.ndarray]], reach: float = 6.0) -> np.ndarray:
+    """(resamples, ranks): the values at these ranks of each sorted resample; seeded()(k) draws the next k places from the start.
+
+    A rank of a resample lies within a few roots of n of its rank in the samples. Samples that near are told apart, the rest
+    are only below or above: a resample is a row of counts, 4 bytes a sample and what DRAWS draws take are held. Should a
+    rank lie farther off, all is drawn again with a wider reach.
+    """
+    n = len(own)
+    half = int(reach * math.sqrt(n)) + 8
+    lo, hi = max(0, min(ranks) - half), min(n - 1, max(ranks) + half)
+    near = np.unique(np.partition(own, (lo, hi))[lo : hi + 1])
+    codes, bins = np.empty(n, np.int32), len(near) + 2
+    for k in range(0, n, DRAWS):
+        part = own[k : k + DRAWS]
+        codes[k : k + DRAWS] = np.searchsorted(near, part) + (part >= near[0])
+    draw, together, out = seeded(), max(1, DRAWS // n), np.empty((resamples, len(ranks)))
+    for first in range(0, resamples, together):
+        rows = min(together, resamples - first)
+        counts = np.zeros(rows * bins, np.int64)
+        for at in range(0, rows * n, DRAWS):
+            k = min(DRAWS, rows * n - at)
+            counts += np.bincount(codes[draw(k)] + np.arange(at, at + k) // n * bins, minlength=rows * bins)
+        upto = counts.reshape(rows, bins).cumsum(1)
+        for c, rank in enumerate(ranks):
+            code = (upto <= rank).sum(1)
+            if code.min() == 0 or code.max() == bins - 1:
+                return _resampled(own, ranks, resamples, seeded, 4 * reach)
+            out[first : first + rows, c] = near[code - 1]
+    return out
 
 
 def bootstrap(samples: DataFrame, *, resamples: int = 1024, ci: float = 0.95, seed: int = 0xC1701, least: int = 12, keys: Sequence[str] = KEYS, order: str = "rep", value: str = "ns") -> DataFrame:
     """(*keys, median, lo, hi): percentile bootstrap interval of the median; NaN bounds with fewer than `least` samples.
 
     Samples are resampled in the order of `order` with numpy's generator, draw for draw, whatever their number: a key of n
-    samples takes resamples * n draws, of which about four million are held at once.
+    samples takes resamples * n draws, of which DRAWS are held at once.
     """
     alpha = (1 - ci) / 2
 
     def resample(own: np.ndarray) -> list[float]:
-        found = [float(np.median(own)), float("nan"), float("nan")]
-        if len(own) >= least:
+        n, found = len(own), [float(np.median(own)), float("nan"), float("nan")]
+
+        def seeded() -> Callable[[int], np.ndarray]:
             rng = np.random.default_rng(seed)
-            held = np.concatenate([np.median(own[rng.integers(0, len(own), size=(k, len(own)))], axis=1) for k in _parts(resamples, len(own))])
+            return lambda k: rng.integers(0, n, size=k)
+
+        if n >= least:
+            held = _resampled(own, [n // 2] if n % 2 else [n // 2 - 1, n // 2], resamples, seeded).mean(1)
             found[1:] = float(np.quantile(held, alpha)), float(np.quantile(held, 1 - alpha))
         return found
 
     return _by_key(samples, keys, order, value, ("median", "lo", "hi"), resample)
 
 
-def _parts(resamples: int, n: int) -> list[int]:
-    """Resamples made at once: about four million numbers."""
-    step = max(1, (1 << 22) // max(n, 1))
-    return [min(step, resamples - k) for k in range(0, resamples, step)]
-
-
 class MersenneTwister64:
     """The 64-bit generator of the C++ standard, in numpy: what does not depend on each other is computed at once."""
 
@@ -266,24 +303,25 @@ class MersenneTwister64:
             state.append((6364136223846793005 * (state[-1] ^ state[-1] >> 62) + i) & 2**64 - 1)
         self.state, self.left = np.array(state, np.uint64), np.zeros(0, np.uint64)
 
-    def _turn(self) -> np.ndarray:
-        s, n, m = self.state, self.N, self.M
-        for lo, hi in ((0, m), (m, n - 1), (n - 1, n)):
-            after = s[(np.arange(lo, hi) + 1) % n]
-            x = (s[lo:hi] & np.uint64(0xFFFFFFFF80000000)) | (after & np.uint64(0x7FFFFFFF))
-            s[lo:hi] = s[(np.arange(lo, hi) + m) % n] ^ (x >> np.uint64(1)) ^ np.where(x & np.uint64(1), np.uint64(0xB5026F5AA96619E9), np.uint64(0))
-        y = s ^ (s >> np.uint64(29) & np.uint64(0x5555555555555555))
+    def _next(self, count: int) -> np.ndarray:
+        """At least the next `count` numbers. Half a state is made at a time, from words that are known; all are tempered at once."""
+        n, m = self.N, self.M
+        s = np.empty(n + -(-count // m) * m, np.uint64)
+        s[:n] = self.state
+        for k in range(0, len(s) - n, m):
+            x = (s[k : k + m] & np.uint64(0xFFFFFFFF80000000)) | (s[k + 1 : k + m + 1] & np.uint64(0x7FFFFFFF))
+            s[k + n : k + n + m] = s[k + m : k + n] ^ (x >> np.uint64(1)) ^ (x & np.uint64(1)) * np.uint64(0xB5026F5AA96619E9)
+        self.state = s[-n:].copy()
+        y = s[n:]
+        y ^= y >> np.uint64(29) & np.uint64(0x5555555555555555)
         y ^= y << np.uint64(17) & np.uint64(0x71D67FFFEDA60000)
         y ^= y << np.uint64(37) & np.uint64(0xFFF7EEE000000000)
-        return y ^ y >> np.uint64(43)
+        y ^= y >> np.uint64(43)
+        return y
 
     def numbers(self, n: int) -> np.ndarray:
-        parts, have = [self.left], len(self.left)
-        while have < n:
-            parts.append(self._turn())
-            have += self.N
-        out = np.concatenate(parts)
-        self.left = out[n:]
+        out = np.concatenate([self.left, self._next(n - len(self.left))]) if n > len(self.left) else self.left
+        self.left = out[n:].copy()
         return out[:n]
 
     def below(self, bound: int, n: int) -> np.ndarray:
@@ -306,9 +344,12 @@ def bootstrap_half_width(samples: DataFrame, *, resamples: int = 1024, seed: int
         middle = float(np.partition(own, n // 2)[n // 2])
         if n < least or middle == 0 or not math.isfinite(middle):
             return [0.0]
-        rng = MersenneTwister64(seed)
-        held = [np.partition(own[rng.below(n, k * n).reshape(k, n)], n // 2, axis=1)[:, n // 2] for k in _parts(resamples, n)]
-        medians = np.sort(np.concatenate(held))
+
+        def seeded() -> Callable[[int], np.ndarray]:
+            rng = MersenneTwister64(seed)
+            return lambda k: rng.below(n, k)
+
+        medians = np.sort(_resampled(own, [n // 2], resamples, seeded)[:, 0])
         return [100.0 * float(medians[resamples * 975 // 1000] - medians[resamples * 25 // 1000]) * 0.5 / abs(middle)]
 
     return _by_key(samples, keys, order, value, ("ci_pct",), width)

@@ -1,6 +1,8 @@
+import functools
 import json
 import math
 import statistics
+import tracemalloc
 from decimal import Decimal
 
 import numpy as np
@@ -155,6 +157,44 @@ def test_bootstrap_of_any_size_is_numpys(spark, n):
     assert S.bootstrap_half_width(data, resamples=64).first().ci_pct == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("n", [30, 5000])
+def test_resampled_ranks_are_those_of_sorted_resamples(monkeypatch, n):
+    """However many draws are made at once, and when a rank lies out of reach."""
+    own = np.random.default_rng(6).integers(0, n // 3, n).astype(float)
+    own[3] = np.inf
+    rng = np.random.default_rng(7)
+    want = np.sort(own[rng.integers(0, n, size=(40, n))])[:, [n // 2 - 1, n // 2]]
+    twice = lambda: functools.partial(lambda rng, k: rng.integers(0, n, size=k), np.random.default_rng(7))
+    for draws, reach in ((1 << 18, 6.0), (1001, 6.0), (1 << 18, 0.01)):
+        monkeypatch.setattr(S, "DRAWS", draws)
+        assert np.array_equal(S._resampled(own, [n // 2 - 1, n // 2], 40, twice, reach), want)
+
+
+@pytest.mark.parametrize("query", [S.bootstrap, S.bootstrap_half_width])
+def test_bootstraps_hold_no_resamples(spark, monkeypatch, query):
+    """The memory of a key's 1,024 resamples: 130 MB would be all draws of 16,000 samples."""
+    used = []
+    monkeypatch.setattr(S, "_by_key", lambda samples, keys, order, value, names, use: used.append(use))
+    query(None)
+    own = np.random.default_rng(8).normal(10, 1, 16_000)
+    tracemalloc.start()
+    used[0](own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_bootstrap_takes_samples_in_their_order(spark):
+    """Rows dealt out in any way, a key that is null, an order with nulls, and keys of many batches."""
+    own = np.random.default_rng(9).normal(10, 1, 25_000)
+    rows = [(None, "p", k, float(v)) for k, v in enumerate(own[:-1])] + [(None, "p", None, float(own[-1])), ("w", "p", 1, 2.0), ("w", "p", 0, None)]
+    data = spark.createDataFrame(rows, "workload string, pool string, rep long, ns double").orderBy(F.hash("ns")).repartition(7)
+    got = {r.workload: r for r in S.bootstrap(data, resamples=20).collect()}
+    held = np.median(own[np.random.default_rng(0xC1701).integers(0, 25_000, size=(20, 25_000))], axis=1)
+    assert (got[None].lo, got[None].hi) == (np.quantile(held, 0.025), np.quantile(held, 0.975))
+    assert got["w"].median == 2.0 and math.isnan(got["w"].lo)
+
+
 def test_half_width_of_few_and_equal_samples(spark):
     half = {r.pool: r.ci_pct for r in S.bootstrap_half_width(runs(spark, {("w", "few"): [1.0, 2.0] * 14, ("w", "flat"): [3.0] * 40})).collect()}
     assert half == {"few": 0.0, "flat": 0.0}
