@@ -40,11 +40,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: its rows, and any partition-dependent column, are fixed from here on.
 
-    The copy is columnar, survives lost executors, and goes when the application ends.
+    The copy is columnar, survives lost executors, and goes when the application ends. With `by`, each value of that column
+    has a folder, and only the folders asked for are read.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

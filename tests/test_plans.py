@@ -7,6 +7,7 @@ from blockloom.control import CancellationToken
 from blockloom.operators import bulk, kernels
 from blockloom.operators.blocks import slot_bounds
 from blockloom.plans import chain, recurse
+from blockloom.storage import materialize
 
 
 def log(df, k):
@@ -152,6 +153,30 @@ def test_nearest(spark, monkeypatch, broadcast):
     assert bulk.nearest(df, df.limit(0)).where("nearest_id IS NOT NULL").count() == 0
 
 
+def test_nearest_moves_each_vector_once(spark, monkeypatch):
+    """Chunks of references in several jobs: what is shuffled is in proportion to the vectors; results are those of one chunk."""
+    import numpy as np
+
+    x = np.random.default_rng(6).uniform(-1, 1, (4000, 32)).astype(np.float32)
+    x[5], x[3999] = x[9], x[9]
+    rows = [(k, v[:16].tolist() if 100 <= k < 120 else v.tolist()) for k, v in enumerate(x)] + [(1, x[7].tolist())]
+    found = {}
+    for n in (1000, 4000):
+        df = spark.createDataFrame(rows[:n] + rows[4000:], "vec_id long, embedding array<float>")
+        one = {tuple(r) for r in bulk.nearest(df, df).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(bulk, "BLOCK", 200), patch.setattr(bulk, "BROADCAST_NUMBERS", 0), patch.setattr(bulk, "AT_ONCE", 3)
+            written = []
+            patch.setattr(bulk, "materialize", lambda df, name, by=None: written.append((name, stored := materialize(df, name, by))) or stored)
+            many = {tuple(r) for r in bulk.nearest(df, df).collect()}
+        assert one == many and len(many) == n
+        found[n] = sum(stored.count() for name, stored in written if name in ("queries", "references"))
+        assert not any(name == "tiles" for name, _ in written)
+    assert found == {1000: 2 * 1001, 4000: 2 * 4001}
+    got = {k: (near, d) for k, near, d in many}
+    assert got[9] == (5, 0.0) and got[5] == (9, 0.0) and got[3999] == (5, 0.0) and got[1] == (7, 0.0) and got[100][0] in range(101, 120)
+
+
 def test_matmul(spark):
     import numpy as np
 
