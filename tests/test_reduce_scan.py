@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockloom.engine import Engine
 from blockloom.operators.blocks import with_index
-from blockloom.operators.reduce import divergence, folded_partials, reduce_blocks, tree
+from blockloom.operators.reduce import divergence, folded_partials, kahan_within, reduce_blocks, tree
 from blockloom.operators.scan import compact, scan_blocks, scan_total, scan_with
 
 
@@ -69,6 +69,15 @@ def test_kahan_between_blocks(spark):
         reduced(frame(spark, adversary), 64, determinism="kahan", op="min")
 
 
+def test_kahan_within_takes_every_block(spark):
+    """70, 4,097 and 5,000 blocks: more than six levels of the tree, and a block of one row at the end."""
+    rng = random.Random(12)
+    for n, chunk in ((140, 2), (4097, 1), (9999, 2)):
+        values = [rng.uniform(-1e6, 1e6) for _ in range(n)]
+        got = kahan_within(frame(spark, values), F.col("v"), n, chunk=chunk).first().value
+        assert got == pytest.approx(math.fsum(values), rel=1e-15, abs=1e-9)
+
+
 def test_init_nulls_and_operators(spark):
     df = frame(spark, [None, 5, None, 7, 1], "long")
     assert reduced(df, 5, init=F.lit(100)) == 113 and reduced(df, 5, op="min") == 1 and reduced(df, 5, op="max", init=F.lit(9)) == 9
